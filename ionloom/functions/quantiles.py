@@ -1,4 +1,4 @@
-"""Exact order statistics that never gather a group in one task's memory."""
+"""Exact order statistics that never gather an unbounded group in one task's memory."""
 
 from __future__ import annotations
 
@@ -8,8 +8,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Width, in rank share, of the bracket put round each wanted quantile.
-_HALF_BRACKET = 0.002
+# Groups up to this many distinct values use the built-in percentile.
+SMALL_GROUP = 200_000
+# Width, in rank share, of the bracket put round a wanted quantile of a larger group.
+HALF_BRACKET = 0.002
 
 
 def exact_quantiles(
@@ -17,71 +19,92 @@ def exact_quantiles(
     keys: Sequence[str],
     value: str | Column,
     wanted: dict[str, float],
+    small_group: int = SMALL_GROUP,
 ) -> DataFrame:
     """Linear-interpolated quantiles per group: ``(*keys, *wanted)``.
 
-    The built-in percentile holds every distinct value of a group in memory, which
-    a group with a third of all rows does not allow. Here values are counted
-    first (a hot group spreads over its values), a sketch brackets each quantile,
-    exact counts say which side of the bracket the wanted ranks fall on, and only
-    the values of that side are ordered. The result is exact whatever the sketch
-    says; the sketch only decides how few values are ordered.
+    Values are counted first, which spreads a hot group over its values. The
+    built-in percentile holds every distinct value of a group in memory, so it
+    only gets groups of checked size; larger ones go through a bracketed
+    selection. With none of those, adaptive execution drops that branch.
     """
     keys = list(keys)
     val = F.col(value) if isinstance(value, str) else value
-    base = df.select(*keys, val.alias("_v")).where(F.col("_v").isNotNull())
-    counts = base.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    parts = []
-    for name, p in wanted.items():
-        lo_p, hi_p = max(0.0, p - _HALF_BRACKET), min(1.0, p + _HALF_BRACKET)
-        marks = counts.groupBy(*keys).agg(
-            F.percentile_approx("_v", [lo_p, hi_p], 2000).alias("_b"), F.sum("_c").alias("_n")
-        )
-        sided = _attach(counts, marks, keys).withColumn(
-            "_side",
-            F.when(F.col("_v") < F.col("_b")[0], 0).when(F.col("_v") <= F.col("_b")[1], 1).otherwise(2),
-        )
-        below = sided.groupBy(*keys).agg(
-            F.sum(F.when(F.col("_side") == 0, F.col("_c")).otherwise(0)).alias("_n0"),
-            F.sum(F.when(F.col("_side") == 1, F.col("_c")).otherwise(0)).alias("_n1"),
-            F.first("_n").alias("_n"),
-            F.first("_b").alias("_b"),
-        )
-        rank = (F.col("_n") - 1) * F.lit(float(p))
-        below = below.withColumn("_lo", F.floor(rank)).withColumn("_frac", rank - F.floor(rank))
-        below = below.withColumn("_hi", F.least(F.col("_lo") + 1, F.col("_n") - 1))
-        picked = _attach(counts, below, keys)
-        side = F.when(F.col("_v") < F.col("_b")[0], 0).when(F.col("_v") <= F.col("_b")[1], 1).otherwise(2)
-        n0, n1 = F.col("_n0"), F.col("_n1")
-        side_of = lambda r: F.when(r < n0, 0).when(r < n0 + n1, 1).otherwise(2)
-        picked = picked.withColumn("_side", side).where(
-            (F.col("_side") == side_of(F.col("_lo"))) | (F.col("_side") == side_of(F.col("_hi")))
-        )
-        before = F.when(F.col("_side") == 0, 0).when(F.col("_side") == 1, n0).otherwise(n0 + n1)
-        run = Window.partitionBy(*(keys or [F.lit(0)]), "_side").orderBy("_v").rowsBetween(
-            Window.unboundedPreceding, 0
-        )
-        ordered = picked.withColumn("_upto", before + F.sum("_c").over(run))
-        pair = ordered.groupBy(*keys).agg(
-            F.min(F.when(F.col("_upto") > F.col("_lo"), F.col("_v"))).alias("_vl"),
-            F.min(F.when(F.col("_upto") > F.col("_hi"), F.col("_v"))).alias("_vh"),
-            F.first("_frac").alias("_f"),
-        )
-        parts.append(
-            pair.select(*keys, (F.col("_vl") + (F.col("_vh") - F.col("_vl")) * F.col("_f")).alias(name))
-        )
-    return functools.reduce(lambda a, b: _attach(a, b, keys), parts)
+    counts = (
+        df.select(*keys, val.cast("double").alias("_v"))
+        .where(F.col("_v").isNotNull())
+        .groupBy(*keys, "_v")
+        .agg(F.count(F.lit(1)).alias("_c"))
+    )
+    by = keys or ["_all"]
+    if not keys:
+        counts = counts.withColumn("_all", F.lit(1))
+    large = counts.groupBy(*by).agg(F.count(F.lit(1)).alias("_m")).where(F.col("_m") > small_group).select(*by)
+    names, shares = list(wanted), [float(p) for p in wanted.values()]
+    quick = (
+        counts.join(large, by, "left_anti")
+        .groupBy(*by)
+        .agg(F.percentile("_v", F.array(*[F.lit(p) for p in shares]), F.col("_c")).alias("_q"))
+        .select(*by, *[F.col("_q")[i].alias(name) for i, name in enumerate(names)])
+    )
+    slow_counts = counts.join(large, by, "left_semi")
+    slow = functools.reduce(
+        lambda a, b: a.join(b, by),
+        [_bracketed(slow_counts, by, p, name) for name, p in zip(names, shares)],
+    )
+    return quick.unionByName(slow.select(*by, *names)).select(*keys, *names)
 
 
 def exact_median(df: DataFrame, keys: Sequence[str], value: str | Column, out: str = "median") -> DataFrame:
     return exact_quantiles(df, keys, value, {out: 0.5})
 
 
-def _attach(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Join one row per group back to the rows; without keys the right side is a single row."""
-    if keys:
-        return left.join(right, list(keys))
-    one = F.lit(1)
-    return left.withColumn("_one", one).join(
-        F.broadcast(right.withColumn("_one", one)), "_one"
-    ).drop("_one")
+def _bracketed(counts: DataFrame, by: Sequence[str], p: float, name: str) -> DataFrame:
+    """One quantile of large groups given as ``(*by, _v, _c)``.
+
+    A sketch brackets the quantile, exact counts say which side of the bracket
+    the wanted ranks fall on, and only the values of that side are ordered. The
+    result is exact whatever the sketch says.
+    """
+    by = list(by)
+    marks = counts.groupBy(*by).agg(
+        F.percentile_approx("_v", [max(0.0, p - HALF_BRACKET), min(1.0, p + HALF_BRACKET)], 2000).alias("_b"),
+        F.sum("_c").alias("_n"),
+    )
+    side = F.when(F.col("_v") < F.col("_b")[0], 0).when(F.col("_v") <= F.col("_b")[1], 1).otherwise(2)
+    rank = (F.col("_n") - 1) * F.lit(p)
+    sizes = (
+        counts.join(marks, by)
+        .groupBy(*by)
+        .agg(
+            F.sum(F.when(side == 0, F.col("_c")).otherwise(0)).alias("_n0"),
+            F.sum(F.when(side == 1, F.col("_c")).otherwise(0)).alias("_n1"),
+            F.first("_n").alias("_n"),
+            F.first("_b").alias("_b"),
+        )
+        .withColumn("_lo", F.floor(rank))
+        .withColumn("_f", rank - F.floor(rank))
+        .withColumn("_hi", F.least(F.col("_lo") + 1, F.col("_n") - 1))
+    )
+    inner_end = F.col("_n0") + F.col("_n1")
+
+    def side_of(r: Column) -> Column:
+        return F.when(r < F.col("_n0"), 0).when(r < inner_end, 1).otherwise(2)
+
+    picked = (
+        counts.join(sizes, by)
+        .withColumn("_side", side)
+        .where((F.col("_side") == side_of(F.col("_lo"))) | (F.col("_side") == side_of(F.col("_hi"))))
+    )
+    before = F.when(F.col("_side") == 0, 0).when(F.col("_side") == 1, F.col("_n0")).otherwise(inner_end)
+    run = Window.partitionBy(*by, "_side").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    pair = (
+        picked.withColumn("_upto", before + F.sum("_c").over(run))
+        .groupBy(*by)
+        .agg(
+            F.min(F.when(F.col("_upto") > F.col("_lo"), F.col("_v"))).alias("_vl"),
+            F.min(F.when(F.col("_upto") > F.col("_hi"), F.col("_v"))).alias("_vh"),
+            F.first("_f").alias("_f"),
+        )
+    )
+    return pair.select(*by, (F.col("_vl") + (F.col("_vh") - F.col("_vl")) * F.col("_f")).alias(name))

@@ -216,3 +216,33 @@ def run_diff(a: DataFrame, b: DataFrame) -> DataFrame:
         F.avg(F.when(both, F.col("sb") - F.col("sa"))).alias("mean_shift"),
         F.avg(F.when(both, F.abs(F.col("sb") - F.col("sa")))).alias("mae"),
     )
+
+
+def scorer_parity(owners: DataFrame, local: DataFrame, within: float = 0.1) -> DataFrame:
+    """How a second scorer agrees with the owners' scores, per reagent and over all.
+
+    ``owners``: one row per owned peak with ``reagent``; ``local``: every scored
+    candidate as ``(sample_item_id, peak_id, neutral_formula, adduct, local_score)``.
+    """
+    peak = ["sample_item_id", "peak_id"]
+    top = local.groupBy(*peak).agg(
+        F.min(F.struct(-F.col("local_score"), F.col("neutral_formula").alias("f"))).alias("t")
+    ).select(*peak, F.col("t.f").alias("top_formula"))
+    rows = (
+        owners.join(local, [*peak, "neutral_formula", "adduct"], "left")
+        .join(top, peak, "left")
+        .withColumn("gap", F.abs(F.col("local_score") - F.col("ion_score")))
+    )
+    b, s = F.col("ion_score"), F.col("local_score")
+    pair_b = F.when(s.isNotNull(), b)
+    return rows.cube("reagent").agg(
+        F.count(F.lit(1)).alias("n_owners"),
+        F.count("local_score").alias("n_pairs"),
+        F.avg("gap").alias("mae"),
+        F.try_divide(F.covar_pop(b, s), F.stddev_pop(pair_b) * F.stddev_pop(s)).alias("r"),
+        F.avg((F.col("gap") <= within).cast("double")).alias("within"),
+        F.try_divide(F.count("top_formula"), F.count(F.lit(1))).alias("covered"),
+        F.try_divide(
+            F.count_if(F.col("top_formula") == F.col("neutral_formula")), F.count(F.lit(1))
+        ).alias("agree"),
+    ).withColumn("reagent", F.coalesce("reagent", F.lit("all")))

@@ -189,3 +189,126 @@ OWNERS = """owners AS (
          CASE WHEN l_returnflag = 'A' THEN 'Assigned' ELSE 'Candidate' END AS tier,
          1.0::DOUBLE - l_discount AS ion_score, l_extendedprice AS height
   FROM lineitem)"""
+
+
+# ---------------------------------------------------------------- ledger rows (lineitem)
+# One ledger row per line: the role follows the line number, the formula the part.
+
+
+def _row_counts() -> dict[str, Column]:
+    c = F.col("l_partkey") % 20 + 4
+    nn = F.col("l_partkey") % 3
+    u = F.col("l_quantity").cast("long") % 4
+    return {
+        "C": c,
+        "H": c * 2 + 2 + nn - u * 2,
+        "N": nn,
+        "O": F.col("l_suppkey") % 9,
+        "S": F.when(F.col("l_suppkey") % 11 == 0, 1).otherwise(0),
+        "Si": F.when(F.col("l_partkey") % 13 == 0, 1).otherwise(0),
+    }
+
+
+def _part(symbol: str, count: Column) -> Column:
+    return F.when(count == 1, F.lit(symbol)).when(
+        count > 1, F.concat(F.lit(symbol), count.cast("string"))
+    ).otherwise("")
+
+
+def ledger_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = _row_counts()
+    si_h = F.when(F.col("l_partkey") % 13 == 0, 2).otherwise(0)
+    n["H"] = n["H"] + si_h
+    formula = F.concat(*[_part(e, n[e]) for e in ("C", "H", "N", "O", "S", "Si")])
+    mass = (
+        n["C"] * F.lit(12.0) + n["H"] * F.lit(1.0078250319) + n["N"] * F.lit(14.0030740052)
+        + n["O"] * F.lit(15.9949146221) + n["S"] * F.lit(31.97207069) + n["Si"] * F.lit(27.9769265350)
+    )
+    bromide = F.col("l_linestatus") == "F"
+    adduct = F.when(bromide, "[M+Br]-").otherwise("[M-H]-")
+    shift = F.when(bromide, F.lit(78.9183371 + 0.0005485799)).otherwise(F.lit(-1.0078250319 + 0.0005485799))
+    ppm = (F.round(F.col("l_tax") * 100) - 4) * F.lit(0.4)
+    line = F.col("l_linenumber")
+    role = (
+        F.when(line <= 3, "M0").when(line == 4, "iso_child").when(line == 5, "reagent")
+        .when(line == 6, "unexplained").otherwise("artifact")
+    )
+    is_m0 = role == "M0"
+    peak_id = F.concat_ws(
+        "-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+        F.round(F.col("l_extendedprice") * 100).cast("long"),
+    )
+    sample = F.date_format("l_shipdate", "yyyy-MM")
+    rows = table(spark, sf_dir, "lineitem").select(
+        sample.alias("sample_item_id"),
+        F.concat(F.lit("f"), (F.col("l_suppkey") % 8).cast("string")).alias("src"),
+        peak_id.alias("peak_id"),
+        F.col("l_orderkey").alias("ord"),
+        ((mass + shift) * (F.lit(1.0) + ppm * F.lit(1e-6))).alias("mz"),
+        F.col("l_extendedprice").alias("height"),
+        role.alias("role"),
+        F.when(is_m0, formula).alias("neutral_formula"),
+        F.when(is_m0, adduct).alias("adduct"),
+        F.when(is_m0, F.concat(formula, F.when(bromide, "Br").otherwise(""), F.lit("-")))
+        .when(line == 5, F.concat(F.lit("Br"), (F.col("l_partkey") % 3 + 1).cast("string"), F.lit("-")))
+        .alias("ion_formula"),
+        F.when(is_m0, F.when(F.col("l_returnflag") == "R", "Candidate").otherwise("Assigned")).alias("tier"),
+        F.when(is_m0, F.lit(1.0) - F.col("l_discount")).alias("ion_score"),
+        F.when(is_m0, ppm).alias("ppm_error"),
+        F.when(is_m0, F.col("l_discount")).alias("eff_margin"),
+        F.when(
+            is_m0,
+            F.when(F.col("l_discount") < 0.03, "High").when(F.col("l_discount") < 0.06, "Good (series)").otherwise("Low"),
+        ).alias("confidence"),
+        F.when(is_m0, F.concat(F.lit("known:"), (F.col("l_suppkey") % 3).cast("string"))).alias("method"),
+        F.when(is_m0, line.cast("long")).alias("pass_no"),
+        F.when(line == 4, F.when(bromide, "81Br").otherwise("13C")).alias("iso_label"),
+        F.when(line == 4, F.lit(1.0) - F.col("l_tax")).alias("iso_match_score"),
+        F.when(line == 5, F.concat(F.lit("reagent ion: (79Br+"), (F.col("l_suppkey") % 2 + 80).cast("string"),
+                                   F.lit("Br) (+0.3 ppm)")))
+        .when(is_m0, "ok").alias("commentary"),
+    )
+    parents = rows.where("role = 'M0'").groupBy("sample_item_id", "ord").agg(F.min("peak_id").alias("_pp"))
+    return (
+        rows.join(parents, ["sample_item_id", "ord"], "left")
+        .withColumn("parent_peak_id", F.when(F.col("role") == "iso_child", F.col("_pp")))
+        .drop("_pp", "ord")
+    )
+
+
+LROWS = """lr0 AS (
+  SELECT *, l_partkey % 20 + 4 AS nc, l_partkey % 3 AS nn, l_suppkey % 9 AS no,
+         CASE WHEN l_suppkey % 11 = 0 THEN 1 ELSE 0 END AS ns, CASE WHEN l_partkey % 13 = 0 THEN 1 ELSE 0 END AS nsi,
+         (round(l_tax * 100) - 4) * 0.4::DOUBLE AS ppm, l_linestatus = 'F' AS bromide,
+         CASE WHEN l_linenumber <= 3 THEN 'M0' WHEN l_linenumber = 4 THEN 'iso_child' WHEN l_linenumber = 5 THEN 'reagent'
+              WHEN l_linenumber = 6 THEN 'unexplained' ELSE 'artifact' END AS role,
+         strftime(l_shipdate, '%Y-%m') AS sample_item_id, 'f' || (l_suppkey % 8) AS src,
+         concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(round(l_extendedprice * 100) AS BIGINT)) AS peak_id
+  FROM lineitem),
+lr1 AS (SELECT *, 2 * nc + 2 + nn - 2 * (CAST(l_quantity AS BIGINT) % 4) + 2 * nsi AS nh FROM lr0),
+lr2 AS (SELECT *, 'C' || nc || CASE WHEN nh = 1 THEN 'H' WHEN nh > 1 THEN 'H' || nh ELSE '' END
+          || CASE WHEN nn = 1 THEN 'N' WHEN nn > 1 THEN 'N' || nn ELSE '' END
+          || CASE WHEN no = 1 THEN 'O' WHEN no > 1 THEN 'O' || no ELSE '' END
+          || CASE WHEN ns = 1 THEN 'S' ELSE '' END || CASE WHEN nsi = 1 THEN 'Si' ELSE '' END AS f,
+        nc * 12.0::DOUBLE + nh * 1.0078250319::DOUBLE + nn * 14.0030740052::DOUBLE + no * 15.9949146221::DOUBLE
+          + ns * 31.97207069::DOUBLE + nsi * 27.9769265350::DOUBLE AS mass FROM lr1),
+lrows AS (SELECT sample_item_id, src, peak_id, nc, nh, nn, no, ns, nsi, mass,
+    (mass + CASE WHEN bromide THEN 78.9183371::DOUBLE + 0.0005485799::DOUBLE ELSE -1.0078250319::DOUBLE + 0.0005485799::DOUBLE END)
+      * (1.0::DOUBLE + ppm * 1e-6::DOUBLE) AS mz,
+    l_extendedprice AS height, role,
+    CASE WHEN role = 'M0' THEN f END AS neutral_formula,
+    CASE WHEN role = 'M0' THEN CASE WHEN bromide THEN '[M+Br]-' ELSE '[M-H]-' END END AS adduct,
+    CASE WHEN role = 'M0' THEN f || CASE WHEN bromide THEN 'Br' ELSE '' END || '-'
+         WHEN role = 'reagent' THEN 'Br' || (l_partkey % 3 + 1) || '-' END AS ion_formula,
+    CASE WHEN role = 'M0' THEN CASE WHEN l_returnflag = 'R' THEN 'Candidate' ELSE 'Assigned' END END AS tier,
+    CASE WHEN role = 'M0' THEN 1.0::DOUBLE - l_discount END AS ion_score,
+    CASE WHEN role = 'M0' THEN ppm END AS ppm_error, CASE WHEN role = 'M0' THEN l_discount END AS eff_margin,
+    CASE WHEN role = 'M0' THEN CASE WHEN l_discount < 0.03 THEN 'High' WHEN l_discount < 0.06 THEN 'Good (series)' ELSE 'Low' END END AS confidence,
+    CASE WHEN role = 'M0' THEN 'known:' || (l_suppkey % 3) END AS method,
+    CASE WHEN role = 'M0' THEN l_linenumber END AS pass_no,
+    CASE WHEN role = 'iso_child' THEN CASE WHEN bromide THEN '81Br' ELSE '13C' END END AS iso_label,
+    CASE WHEN role = 'iso_child' THEN 1.0::DOUBLE - l_tax END AS iso_match_score,
+    CASE WHEN role = 'reagent' THEN '79Br+' || (l_suppkey % 2 + 80) || 'Br' END AS tag,
+    CASE WHEN role = 'iso_child' THEN min(CASE WHEN role = 'M0' THEN peak_id END)
+         OVER (PARTITION BY sample_item_id, l_orderkey) END AS parent_peak_id
+  FROM lr2)"""

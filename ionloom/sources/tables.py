@@ -87,3 +87,37 @@ def append_registry(spark: SparkSession, path: str, run: dict, digest: DataFrame
         row = row.withColumn(name, F.lit(value))
     row.write.mode("append").json(path)
     return spark.read.json(path)
+
+
+def regroup(samples: DataFrame, move: DataFrame | None = None, copy: DataFrame | None = None) -> DataFrame:
+    """Samples moved to and copied into other batches.
+
+    ``move`` and ``copy``: ``(sample_batch_name, sample_item_id, target)``, which
+    are themselves the plan to look at before running.
+    """
+    key = ["sample_batch_name", "sample_item_id"]
+    out = samples
+    if move is not None:
+        out = (
+            out.join(move.select(*key, "target"), key, "left")
+            .withColumn("sample_batch_name", F.coalesce("target", "sample_batch_name"))
+            .drop("target")
+            .select(*samples.columns)
+        )
+    if copy is not None:
+        extra = (
+            samples.join(copy.select(*key, "target"), key)
+            .withColumn("sample_batch_name", F.col("target"))
+            .select(*samples.columns)
+        )
+        out = out.unionByName(extra)
+    return out
+
+
+def rename(samples: DataFrame, names: DataFrame) -> DataFrame:
+    """New sample names out of ``(sample_item_id, new_name)``."""
+    return (
+        samples.join(names.select("sample_item_id", "new_name"), "sample_item_id", "left")
+        .withColumn("sample_item_name", F.coalesce("new_name", "sample_item_name"))
+        .select(*samples.columns)
+    )
