@@ -2,17 +2,54 @@
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Groups up to this many distinct values use the built-in percentile.
-SMALL_GROUP = 200_000
+from ionloom.session import cut_lineage
+
+# Groups up to this many rows use the built-in percentile, which holds a group in memory.
+SMALL_GROUP = 1_000_000
 # Width, in rank share, of the bracket put round a wanted quantile of a larger group.
 HALF_BRACKET = 0.002
 
+# Selection for groups beyond that size, over (keys, v, n) counts.
+_STATEMENT = """
+WITH marks AS (
+  SELECT *, (total - 1) * share AS pos FROM (
+    SELECT {keys}, sum(n) AS total, percentile_approx(v, array({brackets}), 2000) AS edges
+    FROM {{counts}} GROUP BY {keys}
+  ) LATERAL VIEW posexplode(array({shares})) AS i, share
+),
+sided AS (
+  SELECT {ckeys}, m.i, m.pos, m.total, c.v, c.n,
+         CASE WHEN c.v < m.edges[2 * m.i] THEN 0 WHEN c.v <= m.edges[2 * m.i + 1] THEN 1 ELSE 2 END AS side
+  FROM {{counts}} c JOIN marks m ON {c_is_m}
+),
+sizes AS (
+  SELECT {keys}, i, first(pos) AS pos, floor(first(pos)) AS lo,
+         least(floor(first(pos)) + 1, first(total) - 1) AS hi,
+         sum(IF(side = 0, n, 0)) AS end0, sum(IF(side <= 1, n, 0)) AS end1
+  FROM sided GROUP BY {keys}, i
+),
+ordered AS (
+  SELECT {ckeys}, c.i, s.pos, s.lo, s.hi, c.v,
+         CASE c.side WHEN 0 THEN 0 WHEN 1 THEN s.end0 ELSE s.end1 END
+           + sum(c.n) OVER (PARTITION BY {ckeys}, c.i, c.side ORDER BY c.v) AS upto
+  FROM sided c JOIN sizes s ON {c_is_s} AND c.i = s.i
+  WHERE c.side IN (
+    CASE WHEN s.lo < s.end0 THEN 0 WHEN s.lo < s.end1 THEN 1 ELSE 2 END,
+    CASE WHEN s.hi < s.end0 THEN 0 WHEN s.hi < s.end1 THEN 1 ELSE 2 END)
+),
+ends AS (
+  SELECT {keys}, i, first(pos) - first(lo) AS f,
+         min(IF(upto > lo, v, NULL)) AS vl, min(IF(upto > hi, v, NULL)) AS vh
+  FROM ordered GROUP BY {keys}, i
+)
+SELECT {keys}, {outputs} FROM ends GROUP BY {keys}
+"""
+
 
 def exact_quantiles(
     df: DataFrame,
@@ -21,90 +58,50 @@ def exact_quantiles(
     wanted: dict[str, float],
     small_group: int = SMALL_GROUP,
 ) -> DataFrame:
-    """Linear-interpolated quantiles per group: ``(*keys, *wanted)``.
+    """Linear-interpolated quantiles per group: ``(*keys, *wanted)``. NaN counts as missing.
 
-    Values are counted first, which spreads a hot group over its values. The
-    built-in percentile holds every distinct value of a group in memory, so it
-    only gets groups of checked size; larger ones go through a bracketed
-    selection. With none of those, adaptive execution drops that branch.
+    The size of the largest group is checked first (a map-side-combined count).
+    Groups of safe size use the built-in percentile. Beyond that, values are
+    counted, which spreads a hot group over its values; a sketch brackets the
+    quantile, exact counts say which side of the bracket the wanted ranks fall
+    on, and only the values of that side are ordered. The result is exact
+    whatever the sketch says.
     """
-    keys = list(keys)
     val = F.col(value) if isinstance(value, str) else value
-    counts = (
-        df.select(*keys, val.cast("double").alias("_v"))
-        .where(F.col("_v").isNotNull())
-        .groupBy(*keys, "_v")
-        .agg(F.count(F.lit(1)).alias("_c"))
-    )
-    by = keys or ["_all"]
-    if not keys:
-        counts = counts.withColumn("_all", F.lit(1))
-    large = counts.groupBy(*by).agg(F.count(F.lit(1)).alias("_m")).where(F.col("_m") > small_group).select(*by)
     names, shares = list(wanted), [float(p) for p in wanted.values()]
-    quick = (
-        counts.join(large, by, "left_anti")
-        .groupBy(*by)
-        .agg(F.percentile("_v", F.array(*[F.lit(p) for p in shares]), F.col("_c")).alias("_q"))
-        .select(*by, *[F.col("_q")[i].alias(name) for i, name in enumerate(names)])
-    )
-    slow_counts = counts.join(large, by, "left_semi")
-    slow = functools.reduce(
-        lambda a, b: a.join(b, by),
-        [_bracketed(slow_counts, by, p, name) for name, p in zip(names, shares)],
-    )
-    return quick.unionByName(slow.select(*by, *names)).select(*keys, *names)
-
-
-def exact_median(df: DataFrame, keys: Sequence[str], value: str | Column, out: str = "median") -> DataFrame:
-    return exact_quantiles(df, keys, value, {out: 0.5})
+    rows = df.select(
+        *keys,
+        *([] if keys else [F.lit(1).alias("_all")]),
+        F.nanvl(val.cast("double"), F.lit(None).cast("double")).alias("v"),
+    ).where(F.col("v").isNotNull())
+    by = list(keys) or ["_all"]
+    largest = rows.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+    if largest <= small_group:
+        packed = rows.groupBy(*by).agg(
+            F.percentile("v", F.array(*[F.lit(p) for p in shares])).alias("_q")
+        )
+        return packed.select(*keys, *[F.col("_q")[i].alias(name) for i, name in enumerate(names)])
 
+    counts = cut_lineage(rows.groupBy(*by, "v").agg(F.count(F.lit(1)).alias("n")))
+    quoted = [f"`{k}`" for k in by]
 
-def _bracketed(counts: DataFrame, by: Sequence[str], p: float, name: str) -> DataFrame:
-    """One quantile of large groups given as ``(*by, _v, _c)``.
+    def same(a: str, b: str) -> str:
+        return " AND ".join(f"{a}.{k} <=> {b}.{k}" for k in quoted)
 
-    A sketch brackets the quantile, exact counts say which side of the bracket
-    the wanted ranks fall on, and only the values of that side are ordered. The
-    result is exact whatever the sketch says.
-    """
-    by = list(by)
-    marks = counts.groupBy(*by).agg(
-        F.percentile_approx("_v", [max(0.0, p - HALF_BRACKET), min(1.0, p + HALF_BRACKET)], 2000).alias("_b"),
-        F.sum("_c").alias("_n"),
+    edges = [e for p in shares for e in (max(0.0, p - HALF_BRACKET), min(1.0, p + HALF_BRACKET))]
+    statement = _STATEMENT.format(
+        keys=", ".join(quoted),
+        ckeys=", ".join(f"c.{k}" for k in quoted),
+        shares=", ".join(f"{p!r}D" for p in shares),
+        brackets=", ".join(f"{e!r}D" for e in edges),
+        c_is_m=same("c", "m"),
+        c_is_s=same("c", "s"),
+        outputs=", ".join(
+            f"max(IF(i = {i}, vl + (vh - vl) * f, NULL)) AS `{name}`" for i, name in enumerate(names)
+        ),
     )
-    side = F.when(F.col("_v") < F.col("_b")[0], 0).when(F.col("_v") <= F.col("_b")[1], 1).otherwise(2)
-    rank = (F.col("_n") - 1) * F.lit(p)
-    sizes = (
-        counts.join(marks, by)
-        .groupBy(*by)
-        .agg(
-            F.sum(F.when(side == 0, F.col("_c")).otherwise(0)).alias("_n0"),
-            F.sum(F.when(side == 1, F.col("_c")).otherwise(0)).alias("_n1"),
-            F.first("_n").alias("_n"),
-            F.first("_b").alias("_b"),
-        )
-        .withColumn("_lo", F.floor(rank))
-        .withColumn("_f", rank - F.floor(rank))
-        .withColumn("_hi", F.least(F.col("_lo") + 1, F.col("_n") - 1))
-    )
-    inner_end = F.col("_n0") + F.col("_n1")
+    return df.sparkSession.sql(statement, counts=counts).select(*keys, *names)
 
-    def side_of(r: Column) -> Column:
-        return F.when(r < F.col("_n0"), 0).when(r < inner_end, 1).otherwise(2)
 
-    picked = (
-        counts.join(sizes, by)
-        .withColumn("_side", side)
-        .where((F.col("_side") == side_of(F.col("_lo"))) | (F.col("_side") == side_of(F.col("_hi"))))
-    )
-    before = F.when(F.col("_side") == 0, 0).when(F.col("_side") == 1, F.col("_n0")).otherwise(inner_end)
-    run = Window.partitionBy(*by, "_side").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    pair = (
-        picked.withColumn("_upto", before + F.sum("_c").over(run))
-        .groupBy(*by)
-        .agg(
-            F.min(F.when(F.col("_upto") > F.col("_lo"), F.col("_v"))).alias("_vl"),
-            F.min(F.when(F.col("_upto") > F.col("_hi"), F.col("_v"))).alias("_vh"),
-            F.first("_f").alias("_f"),
-        )
-    )
-    return pair.select(*by, (F.col("_vl") + (F.col("_vh") - F.col("_vl")) * F.col("_f")).alias(name))
+def exact_median(df: DataFrame, keys: Sequence[str], value: str | Column, out: str = "median") -> DataFrame:
+    return exact_quantiles(df, keys, value, {out: 0.5})

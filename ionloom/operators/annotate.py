@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ionloom.functions.quantiles import exact_quantiles
 from ionloom.operators import axis
+from ionloom.session import cut_lineage
 
 IDENTITY = (
     "neutral_formula", "adduct", "tier", "intensity_suspect", "role", "ion_formula", "iso_label",
@@ -177,8 +179,8 @@ def identified_rows(ledger: DataFrame, sample: str = "sample_item_id") -> DataFr
 
 def stamping_frame(merged: DataFrame, identified: DataFrame, artefact_gap: float = 3e-3) -> DataFrame:
     """Union of the merged analytes, the aggregated known non-analytes and the artefact tracks."""
-    from ionloom.functions.quantiles import exact_quantiles
-
+    # Read four times below: written once instead of derived four times.
+    identified = cut_lineage(identified)
     votes = (
         identified.where((F.col("role") == "M0") & F.col("ion_formula").isNotNull())
         .groupBy("neutral_formula", "adduct", "ion_formula")
