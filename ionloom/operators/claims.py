@@ -76,6 +76,11 @@ def with_calibration(rows: DataFrame, cal: DataFrame | None) -> DataFrame:
 
 
 # ------------------------------------------------------------------ arbitration
+def _starts_with(line: str):
+    """Predicate on a satellite label: the given line, once or several times."""
+    return lambda s: s.rlike(rf"^(\d+x)?({line})")
+
+
 def arbitrate(
     scored: DataFrame, cal: DataFrame | None = None, listed: DataFrame | None = None,
     reagent_element: str | None = None, keep: int = 6,
@@ -104,7 +109,7 @@ def arbitrate(
         cost = prior
         if e in DIAGNOSTIC:
             line, gate = DIAGNOSTIC[e]
-            seen = F.exists(labels, lambda s, line=line: s.rlike(rf"^(\d+x)?({line})"))
+            seen = F.exists(labels, _starts_with(line))
             waived = prior if e == reagent_element else F.lit(0.0)
             cost = F.when(seen, waived).otherwise(prior + gate)
         penalty = penalty + F.when(el[e] > 0, cost).otherwise(0.0)

@@ -312,3 +312,50 @@ lrows AS (SELECT sample_item_id, src, peak_id, nc, nh, nn, no, ns, nsi, mass,
     CASE WHEN role = 'iso_child' THEN min(CASE WHEN role = 'M0' THEN peak_id END)
          OVER (PARTITION BY sample_item_id, l_orderkey) END AS parent_peak_id
   FROM lr2)"""
+
+
+# ---------------------------------------------------------------- spectra (lineitem)
+# Every ledger row as an ion with its natural 13C (and, on the bromide form, 81Br) satellite.
+
+
+def spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bromide = F.col("l_linestatus") == "F"
+    lines = F.array_compact(
+        F.array(
+            F.struct(F.lit(0).alias("k"), F.lit(0.0).alias("step"), F.lit(1.0).alias("rel")),
+            F.struct(F.lit(1).alias("k"), F.lit(1.003355).alias("step"),
+                     ((F.col("l_partkey") % 20 + 4) * F.lit(0.0108)).alias("rel")),
+            F.when(bromide, F.struct(F.lit(2).alias("k"), F.lit(1.9979521).alias("step"), F.lit(0.9728).alias("rel"))),
+        )
+    )
+    n = _row_counts()
+    n["H"] = n["H"] + F.when(F.col("l_partkey") % 13 == 0, 2).otherwise(0)
+    mass = (
+        n["C"] * F.lit(12.0) + n["H"] * F.lit(1.0078250319) + n["N"] * F.lit(14.0030740052)
+        + n["O"] * F.lit(15.9949146221) + n["S"] * F.lit(31.97207069) + n["Si"] * F.lit(27.9769265350)
+    )
+    shift = F.when(bromide, F.lit(78.9183371 + 0.0005485799)).otherwise(F.lit(-1.0078250319 + 0.0005485799))
+    ppm = (F.round(F.col("l_tax") * 100) - 4) * F.lit(0.4)
+    rows = table(spark, sf_dir, "lineitem").select(
+        F.date_format("l_shipdate", "yyyy-MM").alias("sample_item_id"),
+        F.concat_ws(
+            "-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(F.col("l_extendedprice") * 100).cast("long")
+        ).alias("row_id"),
+        ((mass + shift) * (F.lit(1.0) + ppm * F.lit(1e-6))).alias("mz"),
+        F.col("l_extendedprice").alias("height"),
+        F.explode(lines).alias("q"),
+    )
+    return rows.select(
+        "sample_item_id", F.concat_ws("-", "row_id", F.col("q.k").cast("string")).alias("peak_id"),
+        (F.col("mz") + F.col("q.step")).alias("mz"), (F.col("height") * F.col("q.rel")).alias("height"),
+    )
+
+
+SPECTRA = LROWS + """,
+spectra AS (
+  SELECT l.sample_item_id, l.peak_id || '-' || q.k AS peak_id, l.mz + q.step AS mz, l.height * q.rel AS height
+  FROM (SELECT r.sample_item_id, r.peak_id, r.bromide, r.nc,
+     (mass + CASE WHEN bromide THEN 78.9183371::DOUBLE + 0.0005485799::DOUBLE ELSE -1.0078250319::DOUBLE + 0.0005485799::DOUBLE END)
+      * (1.0::DOUBLE + ppm * 1e-6::DOUBLE) AS mz, l_extendedprice AS height FROM lr2 r) l,
+  LATERAL (SELECT * FROM (VALUES (0, 0.0::DOUBLE, 1.0::DOUBLE), (1, 1.003355::DOUBLE, l.nc * 0.0108::DOUBLE), (2, 1.9979521::DOUBLE, 0.9728::DOUBLE)) v(k, step, rel)
+           WHERE v.k < 2 OR l.bromide) q)"""

@@ -34,7 +34,7 @@ def digest(pdf: pd.DataFrame) -> str:
 
 
 def duck(sf_dir: str):
-    con = duckdb.connect()
+    con = duckdb.connect(config={"memory_limit": "8GB"})
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     return con
