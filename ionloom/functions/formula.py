@@ -140,6 +140,18 @@ def shifted(el: Column, delta: Mapping[str, int], times: Column | int = 1) -> Co
     return F.when(ok, F.struct(*[moved[e].alias(f) for e, f in FIELDS.items()]))
 
 
+def adduct_delta(adduct: Column) -> Column:
+    """Struct of the atoms an ion form adds; null for an unknown form."""
+    table = F.create_map(
+        *[
+            x
+            for a, (delta, _) in ADDUCTS.items()
+            for x in (F.lit(a), F.struct(*[F.lit(delta.get(e, 0)).alias(f) for e, f in FIELDS.items()]))
+        ]
+    )
+    return F.try_element_at(table, adduct)
+
+
 def folded(el: Column) -> Column:
     """Labelled nitrogen counted as nitrogen."""
     return F.struct(

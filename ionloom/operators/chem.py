@@ -416,12 +416,11 @@ def isotope_templates(ions: DataFrame, floor: float = 0.03, reach: float = 6.5,
 
 def with_ions(cands: DataFrame) -> DataFrame:
     """Add the ion's counts, text and theoretical position to candidate rows (formula, el, adduct)."""
-    ion = None
-    for a, (delta, _) in fx.ADDUCTS.items():
-        moved = fx.shifted(F.col("el"), delta)
-        ion = F.when(F.col("adduct") == a, moved) if ion is None else ion.when(F.col("adduct") == a, moved)
     table = F.create_map(*[F.lit(x) for a in fx.ADDUCTS for x in (a, fx.adduct_shift(a))])
-    return cands.withColumn("ion_el", ion).where(F.col("ion_el").isNotNull()).withColumn(
+    rows = cands.withColumn("_d", fx.adduct_delta(F.col("adduct"))).where(F.col("_d").isNotNull())
+    total = F.struct(*[(F.col("el")[f] + F.col("_d")[f]).alias(f) for f in fx.FIELDS.values()])
+    rows = rows.withColumn("ion_el", total).drop("_d").where(F.least(*[F.col("ion_el")[f] for f in fx.FIELDS.values()]) >= 0)
+    return rows.withColumn(
         "ion_formula", F.concat(fx.text(F.col("ion_el")), F.right("adduct", F.lit(1)))
     ).withColumn("ion_mz", fx.mass(F.col("el")) + F.try_element_at(table, F.col("adduct")))
 

@@ -162,9 +162,12 @@ def margin_and_density(winners: DataFrame) -> DataFrame:
     Alternatives that are the winner's own ion in another split are no
     competitors and are dropped first.
     """
-    own = ion_counts_text(F.col("neutral_formula"), F.col("adduct"))
-    real = F.filter("alternatives", lambda a: ion_counts_text(a["formula"], a["adduct"]) != own)
-    out = winners.withColumn("n_stored", F.size("alternatives")).withColumn("alternatives", real)
+    own = _ion_key(fx.counts(F.col("neutral_formula")), F.col("adduct"))
+    rows = winners.withColumn("_own", own).withColumn("n_stored", F.size("alternatives"))
+    counted = F.transform("alternatives", lambda a: F.struct(a.alias("a"), fx.counts(a["formula"]).alias("el")))
+    keyed = F.transform(counted, lambda e: F.struct(e["a"].alias("a"), _ion_key(e["el"], e["a"]["adduct"]).alias("key")))
+    real = F.transform(F.filter(keyed, lambda e: e["key"] != F.col("_own")), lambda e: e["a"])
+    out = rows.withColumn("alternatives", real).drop("_own")
     gaps = F.transform("alternatives", lambda a: F.col("eff_score") - a["eff_score"])
     out = out.withColumn("_g", F.filter(gaps, lambda g: g.isNotNull()))
     close = F.size(F.filter("_g", lambda g: g < CLOSE_MARGIN))
@@ -177,14 +180,18 @@ def margin_and_density(winners: DataFrame) -> DataFrame:
     )
 
 
-def ion_counts_text(formula: Column, adduct: Column) -> Column:
-    """Canonical text of the ion of a (neutral, ion form) reading."""
-    el = fx.counts(formula)
-    out = None
-    for a, (delta, _) in fx.ADDUCTS.items():
-        moved = fx.text(F.struct(*[(el[f] + delta.get(e, 0)).alias(f) for e, f in fx.FIELDS.items()]))
-        out = F.when(adduct == a, moved) if out is None else out.when(adduct == a, moved)
-    return out.otherwise(F.concat(fx.text(el), adduct))
+def _ion_key(el: Column, adduct: Column) -> Column:
+    """Atoms of the ion of a (neutral counts, ion form) reading, as one text."""
+    table = F.create_map(
+        *[
+            x
+            for a, (delta, _) in fx.ADDUCTS.items()
+            for x in (F.lit(a), F.array(*[F.lit(delta.get(e, 0)) for e in fx.FIELDS]))
+        ]
+    )
+    own = F.array(*[el[f] for f in fx.FIELDS.values()])
+    total = F.zip_with(own, F.try_element_at(table, adduct), lambda x, y: x + y)
+    return F.coalesce(F.array_join(total.cast("array<string>"), ","), F.concat(F.array_join(own.cast("array<string>"), ","), adduct))
 
 
 # ------------------------------------------------------------------ calibration
