@@ -16,6 +16,7 @@ from ionloom.functions import formula as fx
 from ionloom.functions.quantiles import exact_quantiles
 from ionloom.operators import ledger as led
 from ionloom.operators.rules import implausible
+from ionloom.session import cut_lineage
 
 PEAK = ["sample_item_id", "peak_id"]
 MINOR_CHANNELS = ("[M+CO3]-", "[M+O2]-", "[M]-.")
@@ -201,8 +202,10 @@ def calibrate(owners: DataFrame, sigma_floor: float = 0.25, min_n: int = 20, rec
     ``owners``: the core rows with ``ppm_error``. ``recentre`` first keeps what
     lies within 2 of the median. Samples with too small a core are absent.
     """
-    n = owners.where(F.col("ppm_error").isNotNull()).groupBy("sample_item_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_n)
-    rows = owners.join(n, "sample_item_id", "left_semi").select("sample_item_id", "ppm_error")
+    # Read once per statistic below, so it is written once.
+    rows = cut_lineage(owners.select("sample_item_id", "ppm_error").where(F.col("ppm_error").isNotNull()))
+    n = rows.groupBy("sample_item_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_n)
+    rows = rows.join(n, "sample_item_id", "left_semi")
     if recentre:
         mid = exact_quantiles(rows, ["sample_item_id"], "ppm_error", {"mid": 0.5})
         near = rows.join(mid, "sample_item_id").where(F.abs(F.col("ppm_error") - F.col("mid")) <= 2.0)
@@ -445,17 +448,18 @@ def prefer_adduct_reading(rows: DataFrame, element: str) -> DataFrame:
     channel as Y with HX in front, if such a form is modelled.
     """
     hx = f"H{element}"
-    el = fx.counts(F.col("neutral_formula"))
-    y = fx.shifted(el, {"H": -1, element: -1})
+    base = rows.withColumn("_el", fx.counts(F.col("neutral_formula"))).withColumn(
+        "_y", fx.shifted(F.col("_el"), {"H": -1, element: -1})
+    )
+    y = F.col("_y")
     ok = y.isNotNull() & fx.structure_ok(y) & (y["O"] <= fx.oxygen_cap(y)) & (y["C"] >= 1)
-    known = [a for a in fx.ADDUCTS if a.startswith("[M+") and a.endswith("]-") and hx not in a]
     target = F.when(F.col("adduct") == "[M-H]-", f"[M+{element}]-")
-    for a in known:
+    for a in fx.ADDUCTS:
         new = f"[M+{hx}+{a[3:-2]}]-"
-        if new in fx.ADDUCTS:
+        if a.startswith("[M+") and a.endswith("]-") and hx not in a and new in fx.ADDUCTS:
             target = target.when(F.col("adduct") == a, new)
-    moves = ok & target.isNotNull()
-    return rows.select(
+    moves = F.coalesce(ok, F.lit(False)) & target.isNotNull()
+    return base.select(
         *[c for c in rows.columns if c not in ("neutral_formula", "adduct")],
         F.when(moves, fx.text(y)).otherwise(F.col("neutral_formula")).alias("neutral_formula"),
         F.when(moves, target).otherwise(F.col("adduct")).alias("adduct"),

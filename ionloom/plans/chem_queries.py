@@ -403,7 +403,7 @@ def c27(spark, sf):
 
 
 @query("C23_degeneracy", f"""WITH {LROWS}, {CORE}, {GRID}, {SHIFTS},
-t AS (SELECT l.sample_item_id, l.peak_id, l.mz, adduct, shift, mz - shift AS m, cal_mu, cal_sigma FROM lrows l JOIN lcal USING (sample_item_id), ads WHERE role = 'M0'),
+t AS (SELECT l.sample_item_id, l.peak_id, l.mz, ads.adduct, shift, mz - shift AS m, cal_mu, cal_sigma FROM lrows l JOIN lcal USING (sample_item_id), ads WHERE role = 'M0'),
 h AS (SELECT t.sample_item_id, t.peak_id, nc, nh + CASE WHEN adduct = '[M-H]-' THEN -1 ELSE 0 END AS ih, nn, no, ns, adduct = '[M+Br]-' AS br FROM t JOIN grid g ON g.mass BETWEEN t.m * (1 - 2e-5) AND t.m * (1 + 2e-5)
   WHERE abs(g.mass - t.m) <= t.m * 15e-6 AND abs((t.m - g.mass) / (g.mass + t.shift) * 1e6 - cal_mu) <= cal_sigma * 2 AND NOT (adduct = '[M-H]-' AND nh < 1))
 SELECT sample_item_id, peak_id, count(*) AS density FROM (SELECT DISTINCT * FROM h) GROUP BY 1, 2""")
@@ -508,7 +508,7 @@ def c30(spark, sf):
 
 @query("C33_reagent_isotopologues")
 def c33(spark, sf):
-    return passes.reagent_isotopologues(ad.ledger_rows(spark, sf))
+    return passes.reagent_isotopologues(cut_lineage(ad.ledger_rows(spark, sf)))
 
 
 @query("C18_satellite_claims")

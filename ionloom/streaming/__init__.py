@@ -1,0 +1 @@
+"""No streaming operator belongs to the covered work; the stateless ones run on streams as they are."""
