@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
@@ -365,32 +366,47 @@ def certificate_table(members: DataFrame, grid: DataFrame, tol_mda: float = 3.0,
 
 
 # ------------------------------------------------------------------ isotope templates and scoring
+def _tidy(x: np.ndarray, p: np.ndarray, gap: float, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """Lines in order, near ones merged at their weighted position, faint ones dropped."""
+    keep = (p > 1e-6) & (x <= reach)
+    x, p = x[keep], p[keep]
+    order = np.argsort(x)
+    x, p = x[order], p[order]
+    group = np.concatenate([[0], np.cumsum(np.diff(x) > gap)])
+    total = np.bincount(group, p)
+    return np.bincount(group, x * p) / total, total
+
+
+@functools.lru_cache(maxsize=4096)
+def _element_lines(element: str, k: int, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """Lines of ``k`` atoms of one element, by halving."""
+    if k == 0:
+        return np.zeros(1), np.ones(1)
+    if k == 1:
+        step, share = np.array(ISOTOPES[element]).T
+        return step, share
+    a, b = _element_lines(element, k // 2, reach), _element_lines(element, k - k // 2, reach)
+    return _tidy((a[0][:, None] + b[0]).ravel(), (a[1][:, None] * b[1]).ravel(), 5e-4, reach)
+
+
 def _lines(counts: Mapping[str, int], floor: float, reach: float, merge_da: float) -> list[tuple[float, float, str]]:
     """Predicted lines (step, share of the base line, label) of one ion's element counts."""
-    def tidy(x: np.ndarray, p: np.ndarray, gap: float) -> tuple[np.ndarray, np.ndarray]:
-        keep = (p > 1e-6) & (x <= reach)
-        x, p = x[keep], p[keep]
-        order = np.argsort(x)
-        x, p = x[order], p[order]
-        group = np.concatenate([[0], np.cumsum(np.diff(x) > gap)])
-        total = np.bincount(group, p)
-        return np.bincount(group, x * p) / total, total
-
     x, p = np.zeros(1), np.ones(1)
     for element, k in counts.items():
-        for _ in range(k if element in ISOTOPES else 0):
-            step, share = np.array(ISOTOPES[element]).T
-            x, p = tidy((x[:, None] + step).ravel(), (p[:, None] * share).ravel(), 5e-4)
+        if element in ISOTOPES:
+            step, share = _element_lines(element, k, reach)
+            x, p = _tidy((x[:, None] + step).ravel(), (p[:, None] * share).ravel(), 5e-4, reach)
     base, x, p = p[0], x[1:], p[1:]
     if not len(x):
         return []
-    x, p = tidy(x, p, merge_da)
+    x, p = _tidy(x, p, merge_da, reach)
     out = []
     for step, rel in zip(x, p / base):
+        if rel < floor:
+            continue
         named = [(abs(d - step), label) for d, label, need in LINE_LABELS if all(counts.get(e, 0) >= c for e, c in need.items())]
         best = min(named, default=(1.0, ""))
-        if rel >= floor:
-            out.append((float(step), float(rel), best[1] if best[0] <= 0.012 else f"M+{round(step)}"))
+        out.append((float(step), float(rel), best[1] if best[0] <= 0.012 else f"M+{round(step)}"))
     return out
 
 

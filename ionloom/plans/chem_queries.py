@@ -602,10 +602,10 @@ NMF_IN = f"""nin AS (SELECT s.sample_item_id, b.bin, coalesce(c.height, 0) AS x,
 
 def nmf_input(spark, sf):
     cells = matrix.matrix_cells(matrix.binned_peaks(ad.peaks(spark, sf)))
-    return factor.build_input(cells, 0.78)
+    return factor.build_input(cells, 0.1)
 
 
-@query("N1_factor_input", f"""WITH {CELLS}, kb AS (SELECT bin FROM cells GROUP BY 1 HAVING count(*) / (SELECT count(DISTINCT sample_item_id) FROM cells) >= 0.78),
+@query("N1_factor_input", f"""WITH {CELLS}, kb AS (SELECT bin FROM cells GROUP BY 1 HAVING count(*) / (SELECT count(DISTINCT sample_item_id) FROM cells) >= 0.1),
 kc AS (SELECT * FROM cells WHERE bin IN (SELECT bin FROM kb)), {NMF_IN},
 sc AS (SELECT median(height) AS med, max(height) AS top FROM kc WHERE height > 0)
 SELECT sample_item_id, bin, round(x, 2) AS x, round(CASE WHEN seen THEN sqrt((0.15 * x) ** 2 + (0.1 * med) ** 2) ELSE 3 * sqrt((0.15 * top) ** 2 + (0.1 * med) ** 2) END, 4) AS sigma FROM nin, sc""")
