@@ -4,17 +4,31 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ionloom.llm import exact_stream, mixing, sharding
-from ionloom.llm.common import documents
+from ionloom.llm import bpe, exact_stream, golay, mixing, ngram_bloom, personal, quality, secrets, sharding
+from ionloom.llm.common import documents, id_remainder
 from ionloom.session import prepare
 
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of each document: base patterns, and formats inferred from them."""
+    return secrets.scan(documents(prepare(spark), sf_dir))
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of each document."""
+    docs = documents(prepare(spark), sf_dir)
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    held_out = id_remainder(F.col("doc_id"), quality.FOLDS) == quality.HELD_OUT
+    return quality.score(docs.select("doc_id", held_out.alias("held_out"), "text"), model).drop("text")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words taken of each document, sorted by training position."""
     plan = mixing.curriculum(documents(prepare(spark), sf_dir))
@@ -63,6 +77,21 @@ FROM u
 """
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probability of each document by exact word counts and by the n-gram filter."""
+    return ngram_bloom.score(documents(prepare(spark), sf_dir))
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of each document's ids and of the text decoded from them."""
+    return bpe.round_trip(documents(prepare(spark), sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of each document."""
+    return personal.scan(documents(prepare(spark), sf_dir))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document with the one of equal text that stays."""
     found = exact_stream.deduplicate(documents(prepare(spark), sf_dir))
@@ -82,15 +111,28 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(prepare(spark), sf_dir))
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of each document and the component of its near-duplicates."""
+    found = golay.near_duplicates(documents(prepare(spark), sf_dir))
+    digits = F.lpad(F.lower(F.hex("fp")), 16, "0")
+    return found.select("doc_id", digits.alias("fingerprint"), "component_id")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     return corpus_pipeline.run(prepare(spark), sf_dir)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secrets": op1_secrets,
+    "op2_quality": op2_quality,
     "op4_mixing": op4_mixing,
+    "op5_lm_scoring": op5_lm_scoring,
+    "op6_bpe": op6_bpe,
+    "op7_personal_data": op7_personal_data,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_sharding": op9_sharding,
+    "op10_simhash": op10_simhash,
     "pipeline": pipeline,
 }
 
