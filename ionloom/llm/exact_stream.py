@@ -17,8 +17,12 @@ from pyspark.sql import functions as F
 from ionloom.llm.common import ascii_lower, in_files, minus, suspects, with_locator, written
 from ionloom.session import shared_folder
 
-STORE = "spark.sql.streaming.stateStore.providerClass"
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+# Settings of the stream: state on disk, many small stores without space set aside in advance.
+STATE_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
+
 
 def sha256(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
@@ -45,8 +49,9 @@ def remember(records: DataFrame, files_per_batch: int | None = None) -> DataFram
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/state/batch={number}")
 
-    before = spark.conf.get(STORE, None)
-    spark.conf.set(STORE, ROCKS)
+    before = {k: spark.conf.get(k, None) for k in STATE_SETTINGS}
+    for k, v in STATE_SETTINGS.items():
+        spark.conf.set(k, v)
     try:
         (
             state.writeStream.outputMode("update")
@@ -57,10 +62,8 @@ def remember(records: DataFrame, files_per_batch: int | None = None) -> DataFram
             .awaitTermination()
         )
     finally:
-        if before is None:
-            spark.conf.unset(STORE)
-        else:
-            spark.conf.set(STORE, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     seen = spark.read.schema(state.schema).parquet(f"{folder}/state")
     return seen.groupBy("digest").agg(F.max("group_size").alias("group_size"), F.max("holder").alias("holder"))
 
