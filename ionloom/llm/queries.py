@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ionloom.llm import bpe, exact_stream, golay, mixing, ngram_bloom, personal, quality, secrets, sharding
+from ionloom.llm import bpe, exact_stream, golay, mixing, ngram_bloom, personal, pstable, quality, secrets, sharding
 from ionloom.llm.common import documents, id_remainder
 from ionloom.session import prepare
 
@@ -29,6 +29,12 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs.select("doc_id", held_out.alias("held_out"), "text"), model).drop("text")
 
 
+def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest found of every fiftieth vector."""
+    vectors = prepare(spark).read.parquet(f"{sf_dir}/embeddings.parquet")
+    return pstable.search(vectors, F.col("vec_id") % 50 == 0)
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words taken of each document, sorted by training position."""
     plan = mixing.curriculum(documents(prepare(spark), sf_dir))
@@ -126,6 +132,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_quality": op2_quality,
+    "op3_nearest": op3_nearest,
     "op4_mixing": op4_mixing,
     "op5_lm_scoring": op5_lm_scoring,
     "op6_bpe": op6_bpe,
