@@ -30,22 +30,23 @@ def propagate(cells: DataFrame, quotas: list[int]) -> DataFrame:
 
     A cell proposes to join the fullest larger cell of its group whose shard has room. A move
     never splits the larger cell, so the sum of squared cell sizes only grows and the rounds
-    end by themselves.
+    end by themselves. A group that fills most of a shard leaves an eighth of it to others.
     """
-    shards = len(quotas)
+    slack = max(quotas) // 8
     while True:
         loads = {r["shard"]: r["n"] for r in cells.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
         room = [q - loads.get(s, 0) for s, q in enumerate(quotas)]
         # Larger first; equal cells are ordered by a hash, so that no shard is favoured.
         weight = F.struct(F.col("n"), F.xxhash64("grp", "shard").alias("h"))
         group = Window.partitionBy("grp")
-        best = F.max(F.when(_pick(room, F.col("shard")) > 0, F.struct(weight.alias("w"), F.col("shard").alias("to")))).over(group)
-        wish = cells.withColumn("w", weight).withColumn("best", best)
+        left = F.when(F.sum("n").over(group) > 4 * slack, slack).otherwise(0)
+        open_to = F.when(_pick(room, F.col("shard")) > F.col("left"), F.struct(weight.alias("w"), F.col("shard").alias("to")))
+        wish = cells.withColumn("left", left).withColumn("w", weight).withColumn("best", F.max(open_to).over(group))
         moves = wish.where((F.col("best.w") > F.col("w")) & (F.col("shard") != F.col("best.to"))).select(
-            "grp", "shard", "n", F.col("best.to").alias("to")
+            "grp", "shard", "n", F.col("best.to").alias("to"), "left"
         )
         ranked = running_total(moves, ["to"], F.col("n"), ["grp", "shard"], "ahead")
-        fits = F.greatest(F.lit(0), F.least(F.col("n"), _pick(room, F.col("to")) - F.col("ahead")))
+        fits = F.greatest(F.lit(0), F.least(F.col("n"), _pick(room, F.col("to")) - F.col("left") - F.col("ahead")))
         accepted = written(ranked.withColumn("m", fits).where("m > 0").select("grp", "shard", "to", "m"), "shard-moves")
         if accepted.isEmpty():
             return cells
