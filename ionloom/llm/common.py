@@ -40,13 +40,13 @@ def in_files(docs: DataFrame) -> DataFrame:
 
 
 def with_locator(docs: DataFrame) -> DataFrame:
-    """All columns of ``docs`` (from ``in_files``) plus ``_file`` and ``_row``."""
-    columns = [F.col(f"`{c}`") for c in docs.columns if c not in ("_file", "_row")]
-    return docs.select(*columns, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    """All columns of ``docs`` (from ``in_files``) plus ``_ion_file`` and ``_ion_row``."""
+    columns = [F.col(f"`{c}`") for c in docs.columns if c not in ("_ion_file", "_ion_row")]
+    return docs.select(*columns, F.col("_metadata.file_path").alias("_ion_file"), F.col("_metadata.row_index").alias("_ion_row"))
 
 
 def _slot(on: Sequence[str]) -> Column:
-    return F.pmod(F.xxhash64(*on), F.lit(SLOTS)).alias("_slot")
+    return F.pmod(F.xxhash64(*on), F.lit(SLOTS)).alias("_ion_slot")
 
 
 def suspects(df: DataFrame, among: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -56,7 +56,7 @@ def suspects(df: DataFrame, among: DataFrame, on: Sequence[str]) -> DataFrame:
     size of ``among``. More partners than slots only let more rows through.
     """
     slots = F.broadcast(among.select(_slot(on)).distinct())
-    return df.withColumn("_slot", _slot(on)).join(slots, "_slot", "left_semi").drop("_slot")
+    return df.withColumn("_ion_slot", _slot(on)).join(slots, "_ion_slot", "left_semi").drop("_ion_slot")
 
 
 def minus(df: DataFrame, gone: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -65,7 +65,7 @@ def minus(df: DataFrame, gone: DataFrame, on: Sequence[str]) -> DataFrame:
     Only suspects are shuffled with their columns, for the exact anti-join.
     """
     slots = F.broadcast(gone.select(_slot(on)).distinct())
-    safe = df.withColumn("_slot", _slot(on)).join(slots, "_slot", "left_anti").drop("_slot")
+    safe = df.withColumn("_ion_slot", _slot(on)).join(slots, "_ion_slot", "left_anti").drop("_ion_slot")
     return safe.unionByName(suspects(df, gone, on).join(gone.select(*on).distinct(), list(on), "left_anti").select(df.columns))
 
 
@@ -97,22 +97,22 @@ def running_total(
     """
     keys = list(keys)
     digest = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in hashed or order]).cast("binary"))
-    rows = df.withColumn("_hash", digest).withColumn("_range", F.substring("_hash", 1, 3)).withColumn("_value", value)
-    along = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = df.withColumn("_ion_hash", digest).withColumn("_ion_range", F.substring("_ion_hash", 1, 3)).withColumn("_ion_value", value)
+    along = Window.partitionBy(*keys).orderBy("_ion_range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     base = (
-        rows.groupBy(*keys, "_range")
-        .agg(F.sum("_value").alias("_sum"))
-        .select(*keys, "_range", (F.sum("_sum").over(along) - F.col("_sum")).alias("_base"))
+        rows.groupBy(*keys, "_ion_range")
+        .agg(F.sum("_ion_value").alias("_ion_sum"))
+        .select(*keys, "_ion_range", (F.sum("_ion_sum").over(along) - F.col("_ion_sum")).alias("_ion_base"))
     )
     inside = (
-        Window.partitionBy(*keys, "_range")
-        .orderBy("_hash", *order)
+        Window.partitionBy(*keys, "_ion_range")
+        .orderBy("_ion_hash", *order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     return (
-        rows.join(base, [*keys, "_range"])
-        .withColumn(out, F.col("_base") + F.sum("_value").over(inside) - F.col("_value"))
-        .drop("_hash", "_range", "_value", "_base")
+        rows.join(base, [*keys, "_ion_range"])
+        .withColumn(out, F.col("_ion_base") + F.sum("_ion_value").over(inside) - F.col("_ion_value"))
+        .drop("_ion_hash", "_ion_range", "_ion_value", "_ion_base")
     )
 
 

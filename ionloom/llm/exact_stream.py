@@ -111,5 +111,5 @@ def deduplicate(
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
     docs = in_files(docs)
-    dropped = deduplicate(docs).where(~F.col("kept")).select(F.col("file").alias("_file"), F.col("row").alias("_row"))
-    return minus(with_locator(docs), dropped, ["_file", "_row"]).drop("_file", "_row")
+    dropped = deduplicate(docs).where(~F.col("kept")).select(F.col("file").alias("_ion_file"), F.col("row").alias("_ion_row"))
+    return minus(with_locator(docs), dropped, ["_ion_file", "_ion_row"]).drop("_ion_file", "_ion_row")

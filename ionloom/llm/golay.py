@@ -54,17 +54,17 @@ def fingerprint(text: bytes) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id, _file, _row, fp`` with the fingerprint as a signed long; null text is empty."""
+    """``doc_id, _ion_file, _ion_row, fp`` with the fingerprint as a signed long; null text is empty."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             marks = [fingerprint(text.as_py() or b"") for text in batch.column(3)]
             fp = pa.array(np.array(marks, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], fp], names=["doc_id", "_file", "_row", "fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], fp], names=["doc_id", "_ion_file", "_ion_row", "fp"])
 
-    rows = with_locator(docs.select("doc_id", "text")).select("doc_id", "_file", "_row", F.col("text").cast("binary"))
+    rows = with_locator(docs.select("doc_id", "text")).select("doc_id", "_ion_file", "_ion_row", F.col("text").cast("binary"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(batches, f"doc_id {id_type}, _file string, _row long, fp long")
+    return rows.mapInArrow(batches, f"doc_id {id_type}, _ion_file string, _ion_row long, fp long")
 
 
 def _syndrome(word: int) -> int:
@@ -162,12 +162,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: ``doc_id, fp, component_id`` and its locator, plus ``holder``.
 
     ``component_id`` is the smallest doc_id reachable over links, ``holder`` that row
-    (``id, _file, _row``). Texts without words have fingerprint 0 and are linked like others;
+    (``id, _ion_file, _ion_row``). Texts without words have fingerprint 0 and are linked like others;
     null ids count as largest; rows that repeat an id are separate documents; an empty table
     gives no rows; extra columns are ignored.
     """
     rows = written(fingerprints(in_files(docs)), "simhash")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), "_file", "_row"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), "_ion_file", "_ion_row"))
     marks = written(rows.groupBy("fp").agg(first.alias("first")), "simhash-marks")
     roots = components(links(marks)).select(F.col("u").alias("fp"), "root")
     rooted = written(
@@ -175,12 +175,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     holders = rooted.groupBy("root").agg(F.min("first").alias("holder"))
     owned = rooted.select("fp", "root").join(holders, "root").select("fp", "holder")
-    return rows.join(owned, "fp").select("doc_id", "fp", F.col("holder.id").alias("component_id"), "_file", "_row", "holder")
+    return rows.join(owned, "fp").select("doc_id", "fp", F.col("holder.id").alias("component_id"), "_ion_file", "_ion_row", "holder")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each component stays, the one with the smallest id, with all columns."""
     docs = in_files(docs)
-    stays = (F.col("_file") == F.col("holder._file")) & (F.col("_row") == F.col("holder._row"))
-    dropped = written(near_duplicates(docs).where(~stays).select("_file", "_row"), "simhash-dropped")
-    return minus(with_locator(docs), dropped, ["_file", "_row"]).drop("_file", "_row")
+    stays = (F.col("_ion_file") == F.col("holder._ion_file")) & (F.col("_ion_row") == F.col("holder._ion_row"))
+    dropped = written(near_duplicates(docs).where(~stays).select("_ion_file", "_ion_row"), "simhash-dropped")
+    return minus(with_locator(docs), dropped, ["_ion_file", "_ion_row"]).drop("_ion_file", "_ion_row")

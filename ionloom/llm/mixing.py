@@ -88,7 +88,7 @@ def curriculum(
 
     Null text has size 0 and is never taken; a null source is a source of its own; rows that
     repeat an id are separate documents; a table without words has targets of 0; extra
-    columns are ignored. The row's locator (``_file``, ``_row``) comes along.
+    columns are ignored. The row's locator (``_ion_file``, ``_ion_row``) comes along.
     """
     docs = in_files(docs)
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
@@ -97,8 +97,8 @@ def curriculum(
             "doc_id",
             "source",
             size.alias("size"),
-            F.col("_metadata.file_path").alias("_file"),
-            F.col("_metadata.row_index").alias("_row"),
+            F.col("_metadata.file_path").alias("_ion_file"),
+            F.col("_metadata.row_index").alias("_ion_row"),
         ),
         "mix-sizes",
     )
@@ -106,10 +106,10 @@ def curriculum(
     # A null source would not meet itself in a join; the rows of a source are told by a key.
     key = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), "source")).alias("key")
     offsets = running_total(
-        rows.select("doc_id", "size", "_file", "_row", key),
+        rows.select("doc_id", "size", "_ion_file", "_ion_row", key),
         ["key"],
         F.col("size"),
-        ["doc_id", "size", "_file", "_row"],
+        ["doc_id", "size", "_ion_file", "_ion_row"],
         "start",
         hashed=["doc_id", "size"],
     )
@@ -136,8 +136,8 @@ def mixed(docs: DataFrame, schedules: Sequence[Schedule] = SCHEDULES) -> DataFra
     """The training order: the columns of ``docs``, a row per copy, sorted by position."""
     docs = in_files(docs)
     plan = curriculum(docs, schedules=schedules).where("copies > 0")
-    due = plan.withColumn("_pass", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).select(
-        "_file", "_row", _due(schedules, F.col("start") + F.col("_pass") * F.col("source_size")).alias("_due"), "_pass"
+    due = plan.withColumn("_ion_pass", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).select(
+        "_ion_file", "_ion_row", _due(schedules, F.col("start") + F.col("_ion_pass") * F.col("source_size")).alias("_ion_due"), "_ion_pass"
     )
-    rows = with_locator(docs).join(due, ["_file", "_row"])
-    return rows.orderBy("_due", "_file", "_row", "_pass").select(docs.columns)
+    rows = with_locator(docs).join(due, ["_ion_file", "_ion_row"])
+    return rows.orderBy("_ion_due", "_ion_file", "_ion_row", "_ion_pass").select(docs.columns)

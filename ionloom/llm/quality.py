@@ -203,15 +203,15 @@ def _runs(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
         yield start, texts
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` plus ``score`` (probability of class 1) and ``predicted``.
+def score(docs: DataFrame, model: Model, score: str = "score", predicted: str = "predicted") -> DataFrame:
+    """``docs`` plus ``score`` (probability of class 1) and ``predicted``, under the given names.
 
     Null and empty texts get the intercept's score; repeated rows score alike; an empty table
     gives no rows; columns of ``docs`` named like the new ones are replaced.
     """
-    kept = docs.select([c for c in docs.columns if c not in ("score", "predicted")])
+    kept = docs.select([c for c in docs.columns if c not in (score, predicted)])
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    added = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
+    added = [T.StructField(score, T.DoubleType()), T.StructField(predicted, T.IntegerType())]
     schema = T.StructType([*kept.schema.fields, *added])
     at = kept.columns.index("text")
 
@@ -219,7 +219,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for batch in it:
             parts = [shared.value.scores(texts) for _, texts in _runs(batch.column(at).cast(pa.binary()))]
             scores = np.concatenate(parts) if parts else np.zeros(0)
-            predicted = pa.array((scores >= THRESHOLD).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores), predicted], names=schema.names)
+            good = pa.array((scores >= THRESHOLD).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores), good], names=schema.names)
 
     return kept.mapInArrow(batches, schema)
