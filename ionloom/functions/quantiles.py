@@ -7,14 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ionloom.session import cut_lineage
-
-# Groups up to this many rows use the built-in percentile, which holds a group in memory.
-SMALL_GROUP = 1_000_000
 # Width, in rank share, of the bracket put round a wanted quantile of a larger group.
 HALF_BRACKET = 0.002
 
-# Selection for groups beyond that size, over (keys, v, n) counts.
+# Selection over (keys, v, n) counts.
 _STATEMENT = """
 WITH marks AS (
   SELECT *, (total - 1) * share AS pos FROM (
@@ -52,20 +48,14 @@ SELECT {keys}, {outputs} FROM ends GROUP BY {keys}
 
 
 def exact_quantiles(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str | Column,
-    wanted: dict[str, float],
-    small_group: int = SMALL_GROUP,
+    df: DataFrame, keys: Sequence[str], value: str | Column, wanted: dict[str, float]
 ) -> DataFrame:
     """Linear-interpolated quantiles per group: ``(*keys, *wanted)``. NaN counts as missing.
 
-    The size of the largest group is checked first (a map-side-combined count).
-    Groups of safe size use the built-in percentile. Beyond that, values are
-    counted, which spreads a hot group over its values; a sketch brackets the
-    quantile, exact counts say which side of the bracket the wanted ranks fall
-    on, and only the values of that side are ordered. The result is exact
-    whatever the sketch says.
+    One lazy plan at every size. Values are counted, which spreads a hot group
+    over its values; a sketch brackets the quantile, exact counts say which
+    side of the bracket the wanted ranks fall on, and only the values of that
+    side are ordered. The result is exact whatever the sketch says.
     """
     val = F.col(value) if isinstance(value, str) else value
     names, shares = list(wanted), [float(p) for p in wanted.values()]
@@ -75,14 +65,7 @@ def exact_quantiles(
         F.nanvl(val.cast("double"), F.lit(None).cast("double")).alias("v"),
     ).where(F.col("v").isNotNull())
     by = list(keys) or ["_all"]
-    largest = rows.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
-    if largest <= small_group:
-        packed = rows.groupBy(*by).agg(
-            F.percentile("v", F.array(*[F.lit(p) for p in shares])).alias("_q")
-        )
-        return packed.select(*keys, *[F.col("_q")[i].alias(name) for i, name in enumerate(names)])
-
-    counts = cut_lineage(rows.groupBy(*by, "v").agg(F.count(F.lit(1)).alias("n")))
+    counts = rows.groupBy(*by, "v").agg(F.count(F.lit(1)).alias("n"))
     quoted = [f"`{k}`" for k in by]
 
     def same(a: str, b: str) -> str:
