@@ -150,19 +150,25 @@ def band_join(
     right: DataFrame,
     left_x: Column,
     right_x: Column,
-    tol_ppm: float,
+    tol_ppm: float | None,
     within: Column,
     keys: Sequence[str] = (),
     how: str = "inner",
+    *,
+    width: float | None = None,
 ) -> DataFrame:
     """Join on a tolerance band as an equi-join on cells plus the exact predicate ``within``.
 
-    ``within`` refers to the columns of both sides; ``tol_ppm`` must bound it.
-    The right side is replicated to three cells, so pass the smaller one there.
+    ``within`` refers to the columns of both sides; ``tol_ppm``, or ``width`` in axis units,
+    must bound it. The right side is replicated to three cells, so pass the smaller one there.
     """
     keys = list(keys)
-    lhs = left.withColumn("_cell", relative_cell(left_x, tol_ppm, 1.01))
-    rhs = right.withColumn("_rc", relative_cell(right_x, tol_ppm, 1.01)).withColumn(
+
+    def cell_of(x: Column) -> Column:
+        return relative_cell(x, tol_ppm, 1.01) if width is None else F.floor(x / F.lit(width * 1.01))
+
+    lhs = left.withColumn("_cell", cell_of(left_x))
+    rhs = right.withColumn("_rc", cell_of(right_x)).withColumn(
         "_cell", F.explode(F.array(F.col("_rc") - 1, F.col("_rc"), F.col("_rc") + 1))
     )
     for k in keys:
@@ -204,9 +210,13 @@ def nearest(
         def cell_of(col: Column) -> Column:
             return mixed_cell(col, tol_ppm, floor_da)
     fields = [library_x, *[c for c in payload if c != library_x]]
-    lib = neighbourhoods(
-        library.where(F.col(library_x).isNotNull()), cell_of(F.col(library_x)), fields, keys, "_near"
-    )
+    rest = list(order) + [c for c in fields[1:] if c not in order]
+    # Of entries at one position only the first in order can win, so copies collapse map-side.
+    entries = library.where(F.col(library_x).isNotNull())
+    if rest:
+        first = F.min(F.struct(*rest)).alias("_first")
+        entries = entries.groupBy(*keys, library_x).agg(first).select(*keys, library_x, *[F.col(f"_first.{c}").alias(c) for c in rest])
+    lib = neighbourhoods(entries, cell_of(F.col(library_x)), fields, keys, "_near")
     px = F.col(probe_x)
 
     def allowed(entry: Column) -> Column:
@@ -216,7 +226,6 @@ def nearest(
             return F.abs(px - x) / base * 1e6 <= tol_ppm
         return F.abs(px - x) <= F.greatest(base * tol_ppm * 1e-6, F.lit(floor_da))
 
-    rest = list(order) + [c for c in fields[1:] if c not in order]
     ranked = F.array_min(
         F.transform(
             F.filter("_near", allowed),

@@ -199,6 +199,10 @@ def inside_box(elements: Sequence[str] = ("C", "Br", "Cl", "S", "Si")) -> Column
     return ok
 
 
+# Spacings at which a satellite follows its parent.
+SATELLITE_STEPS = (1.003355, 0.997035, 1.995796, 1.997050, 1.997953, 2.004246)
+
+
 def satellite_parents(bins: DataFrame, known: DataFrame, steps: Sequence[float], tol_ppm: float = 8.0) -> DataFrame:
     """Bins one step above a brighter known bin: ``(bin, step_no, parent_mz)``; the first step wins.
 
@@ -359,7 +363,7 @@ def certificate_table(members: DataFrame, grid: DataFrame, tol_mda: float = 3.0,
     tol = tol_mda / 1000.0
     counts = axis.band_join(
         certs.select("cert", "core_mass"), grid.select("mass", "formula"), F.col("core_mass"), F.col("mass"),
-        tol / 40.0 * 1e6, F.abs(F.col("mass") - F.col("core_mass")) <= tol,
+        None, F.abs(F.col("mass") - F.col("core_mass")) <= tol, width=tol,
     ).groupBy("cert").agg(F.count_distinct("formula").alias("n_candidates"))
     out = certs.join(counts, "cert", "left").withColumn("n_candidates", F.coalesce("n_candidates", F.lit(0)))
     return out if covariation is None else out.join(covariation, "cert", "left")

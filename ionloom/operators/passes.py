@@ -153,8 +153,8 @@ def certified_pass(ledger: DataFrame, grid: DataFrame, offsets: Sequence[tuple[s
     """
     members = cut_lineage(chem.certificates(free_peaks(ledger), offsets).where("cluster_order = 0"))
     hits = axis.band_join(
-        members, grid, F.col("core_mass"), F.col("mass"), 50.0,
-        F.abs(F.col("mass") - F.col("core_mass")) <= 2e-3,
+        members, grid, F.col("core_mass"), F.col("mass"), None,
+        F.abs(F.col("mass") - F.col("core_mass")) <= 2e-3, width=2e-3,
     )
     few = hits.groupBy("cert").agg(F.count_distinct("formula").alias("n")).where(F.col("n") <= max_candidates)
     hits = cut_lineage(hits.join(few, "cert", "left_semi"))

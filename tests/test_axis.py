@@ -72,3 +72,33 @@ def test_chain_and_greedy(spark):
         [("a", "r1", 1), ("a", "r2", 1), ("b", "r2", 2), ("b", "r3", 2), ("c", "r3", 3), ("d", "r9", 4)], "id string, resource string, rank int"
     )
     assert sorted(r["id"] for r in chem.greedy(items).collect()) == ["a", "c", "d"]
+
+
+def test_copies_of_a_position_collapse_before_they_are_gathered(spark):
+    from pyspark.sql import functions as F
+
+    crowd = spark.range(100_000).select(
+        F.lit(200.0).alias("x"), F.col("id").cast("string").alias("name"), F.rand(3).alias("h")
+    )
+    probes = spark.createDataFrame([(1, 200.0005), (2, 300.0)], "id int, mz double")
+    got = axis.nearest(probes, crowd, "mz", "x", ["name", "h"], tol_ppm=5.0, order=("h",))
+    least = crowd.orderBy("h").first()
+    rows = {r["id"]: r["hit"] for r in got.collect()}
+    assert rows[2] is None and rows[1]["name"] == least["name"]
+    entries = crowd.groupBy("x").agg(F.min(F.struct("h", "name")).alias("f")).select("x", "f.name", "f.h")
+    cells = axis.neighbourhoods(entries, axis.relative_cell(F.col("x"), 5.0, 1.01), ["x", "name", "h"])
+    assert cells.agg(F.max(F.size("near"))).first()[0] == 1
+
+
+def test_absolute_windows_hold_at_low_positions(spark):
+    import numpy as np
+
+    from ionloom.operators import audit
+
+    rng = np.random.default_rng(6)
+    ions = [18.03, 25.3, 33.3, 38.0, 500.1]
+    rows = [(f"s{i % 5}", f"p{i}", float(m + rng.uniform(-4e-3, 4e-3)), 1.0) for i, m in enumerate(ions * 60)]
+    peaks = spark.createDataFrame(rows, "sample_item_id string, peak_id string, mz double, height double")
+    got = audit.raw_tracks(peaks, spark.createDataFrame([(m,) for m in ions], "mz double"), window=2.5e-3)
+    want = sum(abs(r[2] - m) <= 2.5e-3 for r in rows for m in ions)
+    assert got.count() == want
