@@ -413,11 +413,11 @@ def g6(spark, sf):
 
 
 @query("T27_diel_class_panels", f"""WITH {LROWS}, {NEUTRALS}, c AS (SELECT *, CASE WHEN nsi > 0 THEN 'Si / siloxane' WHEN nn > 0 AND ns > 0 THEN 'CHONS' WHEN ns > 0 THEN 'CHOS' WHEN nn > 0 THEN 'CHON' ELSE 'CHO' END AS cls FROM neu)
-SELECT neutral_formula, 'oxygenated CHO' AS panel FROM c WHERE cls = 'CHO' AND no >= 3
-UNION ALL SELECT neutral_formula, 'CHON' FROM c WHERE cls = 'CHON'
-UNION ALL SELECT neutral_formula, 'fatty acids' FROM c WHERE cls = 'CHO' AND nh = 2 * nc AND no = 2
-UNION ALL SELECT neutral_formula, 'dicarboxylic acids' FROM c WHERE cls = 'CHO' AND no = 4 AND nh = 2 * nc - 2
-UNION ALL SELECT neutral_formula, 'organosulfur' FROM c WHERE cls IN ('CHOS', 'CHONS')
-UNION ALL SELECT neutral_formula, 'siloxanes' FROM c WHERE cls = 'Si / siloxane'""")
+SELECT neutral_formula, 'CHO oxygenated (O>=3)' AS panel FROM c WHERE cls = 'CHO' AND no >= 3
+UNION ALL SELECT neutral_formula, 'CHON organonitrates' FROM c WHERE cls = 'CHON'
+UNION ALL SELECT neutral_formula, 'fatty acids  CnH2nO2' FROM c WHERE cls = 'CHO' AND nh = 2 * nc AND no = 2
+UNION ALL SELECT neutral_formula, 'dicarboxylic  CnH(2n-2)O4' FROM c WHERE cls = 'CHO' AND no = 4 AND nh = 2 * nc - 2
+UNION ALL SELECT neutral_formula, 'CHOS / CHONS organosulfur' FROM c WHERE cls IN ('CHOS', 'CHONS')
+UNION ALL SELECT neutral_formula, 'Si / siloxane' FROM c WHERE cls = 'Si / siloxane'""")
 def t27(spark, sf):
     return rules.class_panels(ad.ledger_rows(spark, sf).where("role = 'M0'"))
