@@ -82,7 +82,8 @@ def resolve_one_to_one(matched: DataFrame, offsets: DataFrame | None, keys: Sequ
     """Keep one peak per (sample, ion): nearest to the consensus, then brightest, then by id.
 
     Adds ``winner`` and ``dup_candidate``. The contest is a map-side-combined
-    minimum, and rows without an ion get scattered join keys of their own.
+    minimum, and rows without an ion get scattered join keys of their own. Rows that
+    are equal in all columns count as one peak.
     """
     scattered = -(F.pmod(F.xxhash64("peak_id"), F.lit(100000)) + 1).cast("double")
     keyed = matched.withColumn("ion_mz", F.coalesce(F.col("ion.mz"), scattered))
@@ -98,6 +99,8 @@ def resolve_one_to_one(matched: DataFrame, offsets: DataFrame | None, keys: Sequ
                 F.abs(F.col("off") - F.coalesce("cons", F.lit(0.0))).alias("d"),
                 (-F.coalesce(F.nanvl("height", F.lit(None)), F.lit(float("-inf")))).alias("nh"),
                 F.col("peak_id").alias("peak_id"),
+                # Raw input may repeat an id within a sample; its rows are told apart by content.
+                F.xxhash64(*matched.columns).alias("content"),
             ),
         ),
     )

@@ -19,8 +19,8 @@ EPS = 1e-10
 def build_input(cells: DataFrame, min_presence: float = 0.0) -> DataFrame:
     """``(sample_item_id, bin, x, sigma)`` over samples x kept bins; absent cells are 0 with a wide error.
 
-    The kept bins are read once per sample, so the grid is as large as the model
-    itself asks for.
+    The kept bins are numbered and each sample makes the numbers itself, so the
+    grid is as large as the model itself asks for and nothing is gathered.
     """
     n = F.broadcast(cells.agg(F.count_distinct("sample_item_id").alias("n_all")).withColumn("one", F.lit(1)))
     bins = cells.groupBy("bin").agg(F.count("height").alias("n")).withColumn("one", F.lit(1)).join(n, "one")
@@ -29,10 +29,13 @@ def build_input(cells: DataFrame, min_presence: float = 0.0) -> DataFrame:
     med = exact_quantiles(rows.where("x > 0"), [], "x", {"med": 0.5}).withColumn("one", F.lit(1))
     top = rows.agg(F.max("x").alias("top")).withColumn("one", F.lit(1))
     scale = F.broadcast(med.join(top, "one"))
-    packed = kept.agg(F.collect_list("bin").alias("bins")).withColumn("one", F.lit(1))
+    # The axis range over the tolerance bounds the number of bins.
+    numbered = cut_lineage(kept.select("bin", F.row_number().over(Window.orderBy("bin")).alias("_i")))
+    last = F.broadcast(numbered.agg(F.max("_i").alias("_n")).withColumn("one", F.lit(1)))
     grid = (
-        rows.select("sample_item_id").distinct().withColumn("one", F.lit(1)).join(F.broadcast(packed), "one")
-        .select("sample_item_id", F.explode("bins").alias("bin"))
+        rows.select("sample_item_id").distinct().withColumn("one", F.lit(1)).join(last, "one")
+        .select("sample_item_id", F.explode(F.sequence(F.lit(1), "_n")).alias("_i"))
+        .join(numbered, "_i").select("sample_item_id", "bin")
     )
     full = grid.join(rows, ["sample_item_id", "bin"], "left").withColumn("one", F.lit(1)).join(scale, "one")
     floor = F.col("med") * FLOOR_FRAC

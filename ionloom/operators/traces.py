@@ -60,12 +60,13 @@ def with_axis(traces: DataFrame, time: str, unit_hours: float) -> DataFrame:
 def complete_grid(traces: DataFrame) -> DataFrame:
     """Every channel at every time point; absent cells become null."""
     axis = traces.select("t", "hours").distinct()
-    # One sorted array of time points per channel beats a cross join: it is exploded in place.
-    packed = axis.groupBy(F.lit(1).alias("one")).agg(F.collect_list(F.struct("t", "hours")).alias("axis"))
+    # Time points are numbered, so a channel makes its own from the two ends, which are one row.
+    ends = F.broadcast(axis.agg(F.min("t").alias("_lo"), F.max("t").alias("_hi")).withColumn("one", F.lit(1)))
     frame = (
-        traces.select("channel").distinct().withColumn("one", F.lit(1)).join(packed, "one")
-        .select("channel", F.explode("axis").alias("a"))
-        .select("channel", F.col("a.t").alias("t"), F.col("a.hours").alias("hours"))
+        traces.select("channel").distinct().withColumn("one", F.lit(1)).join(ends, "one").where("_lo IS NOT NULL")
+        .select("channel", F.explode(F.sequence("_lo", "_hi")).alias("t"))
+        .join(axis, "t")
+        .select("channel", "t", "hours")
     )
     return frame.join(traces.select("channel", "t", "y"), ["channel", "t"], "left")
 
