@@ -83,7 +83,7 @@ def c2(spark, sf):
 
 
 @query("J12_satellite_parents", f"""WITH {CELLS}, m AS (SELECT bin, median(height) AS med FROM cells GROUP BY 1),
-b AS (SELECT bins.bin, bin_mz, med FROM bins JOIN m USING (bin)), st AS (SELECT * FROM (VALUES (0, 1.003355::DOUBLE), (1, 0.997035::DOUBLE), (2, 0.5016774::DOUBLE)) t(i, s)),
+b AS (SELECT bins.bin, bin_mz, med FROM bins JOIN m USING (bin)), st AS (SELECT * FROM (VALUES (0, 1.003355::DOUBLE), (1, 0.997035::DOUBLE), (2, 1.995796::DOUBLE), (3, 1.997050::DOUBLE), (4, 1.997953::DOUBLE), (5, 2.004246::DOUBLE)) t(i, s)),
 h AS (SELECT b.bin, st.i, k.bin_mz AS x, row_number() OVER (PARTITION BY b.bin ORDER BY st.i, k.bin_mz) AS rn FROM b CROSS JOIN st JOIN b k
    ON abs(k.bin_mz - (b.bin_mz - st.s)) / b.bin_mz * 1e6 <= 8 AND k.med > b.med)
 SELECT bin, i AS step_no, round(x, 7) AS parent_mz FROM h WHERE rn = 1""")
@@ -94,7 +94,7 @@ def j12(spark, sf):
     med = exact_quantiles(matrix.matrix_cells(binned), ["bin"], "height", {"median": 0.5})
     b = cut_lineage(matrix.bin_table(binned).join(med, "bin").select("bin", "bin_mz", "median"))
     known = b.select(F.col("bin_mz").alias("x"), F.col("median").alias("known_median"))
-    return chem.satellite_parents(b, known, (1.003355, 0.997035, 0.5016774)).withColumn("parent_mz", F.round("parent_mz", 7))
+    return chem.satellite_parents(b, known, chem.SATELLITE_STEPS).withColumn("parent_mz", F.round("parent_mz", 7))
 
 
 @query("J14_ringing", f"""WITH {LROWS}, u AS (SELECT * FROM lrows WHERE role = 'unexplained'),
@@ -152,11 +152,11 @@ def j7(spark, sf):
     return chem.match_assigned(ad.ledger_rows(spark, sf).where("role = 'M0'"), species(spark, sf))
 
 
-LIB = """lib AS (SELECT DISTINCT ion_formula AS label, ion_formula, round_even(mz, 2) AS ion_mz FROM lrows WHERE role = 'reagent' AND height > 100000)"""
+LIB = """lib AS (SELECT DISTINCT ion_formula AS label, ion_formula, round_even(mz, 2) AS ion_mz FROM lrows WHERE role = 'reagent')"""
 
 
 def library(spark, sf):
-    r = ad.ledger_rows(spark, sf).where("role = 'reagent' AND height > 100000")
+    r = ad.ledger_rows(spark, sf).where("role = 'reagent'")
     return r.select(F.col("ion_formula").alias("label"), "ion_formula", F.bround("mz", 2).alias("ion_mz")).distinct()
 
 
@@ -466,9 +466,14 @@ def _owned(ledger, pass_no):
         *PEAK, "neutral_formula", "adduct", "confidence", "method")
 
 
-@query("C9_C12_series_walk")
+@query("C9_series_walk")
 def c9(spark, sf):
-    return _owned(passes.series_walk(_seeded(spark, sf), ADDUCTS, rounds=1), 2)
+    return _owned(passes.series_walk(_seeded(spark, sf), ADDUCTS), 2)
+
+
+@query("C12_deep_series")
+def c12(spark, sf):
+    return _owned(passes.series_walk(_seeded(spark, sf), ADDUCTS, rule="deep_series"), 4)
 
 
 @query("C13_completion_pass")
@@ -518,7 +523,7 @@ def c18(spark, sf):
 
 @query("C17_complete_envelopes")
 def c17(spark, sf):
-    out = audit.complete_envelopes(_seeded(spark, sf), rounds=2)
+    out = audit.complete_envelopes(_seeded(spark, sf))
     return out.where("role = 'iso_child'").select(*PEAK, "parent_peak_id", "iso_label")
 
 

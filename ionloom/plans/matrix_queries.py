@@ -229,14 +229,14 @@ def a23(spark, sf):
     return t.select("sample_item_id", "datetime_utc", F.round("tic", 2).alias("total")).orderBy("datetime_utc")
 
 
-# The reagent library of these queries: the ledger ions of one formula block.
-REAGENT = "reagent AS (SELECT mz FROM ledger WHERE tier = 'Assigned' AND ion_score < 0.49)"
+# The reagent library of these queries: all assigned ledger ions.
+REAGENT = "reagent AS (SELECT mz FROM ledger WHERE tier = 'Assigned')"
 REAGENT_TOTAL = """near AS (SELECT DISTINCT b.bin FROM reagent r JOIN bins b ON abs(b.bin_mz - r.mz) / r.mz * 1e6 <= 8),
 tot AS (SELECT c.sample_item_id, sum(c.height) AS reagent_total FROM cells c JOIN near USING (bin) GROUP BY 1)"""
 
 
 def reagent_ions(spark, sf):
-    return ad.ledger_ions(spark, sf).where((F.col("tier") == "Assigned") & (F.col("ion_score") < 0.49)).select("mz")
+    return ad.ledger_ions(spark, sf).where(F.col("tier") == "Assigned").select("mz")
 
 
 def _totals(spark, sf, cells, bins):

@@ -331,4 +331,4 @@ def t14(spark, sf):
 @query("T15_threshold_scan")
 def t15(spark, sf):
     g = tr.log_traces(grid(spark, sf, 86400, 30))
-    return fam.threshold_scan(g.select("channel").distinct(), tr.pairwise_r(g, "g"), cuts=(0.7, 0.9))
+    return fam.threshold_scan(g.select("channel").distinct(), tr.pairwise_r(g, "g"))
