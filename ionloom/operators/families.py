@@ -122,6 +122,13 @@ def family_rows(traces: DataFrame, labels: DataFrame, pairs: DataFrame) -> DataF
     )
 
 
+def remaining_row(traces: DataFrame, labels: DataFrame) -> DataFrame:
+    """Size, shape and peak time of all channels that are in no family, as one overview row."""
+    rest = traces.select("channel").distinct().join(labels, "channel", "left_anti").withColumn("cluster", F.lit(0))
+    none = rest.select(F.col("channel").alias("a"), F.col("channel").alias("b"), F.lit(0.0).alias("r")).limit(0)
+    return family_rows(traces, rest, none).select("n", "shape", "peak_hour")
+
+
 def members_by_brightness(traces: DataFrame, labels: DataFrame) -> DataFrame:
     """Members of each family with their place by median brightness."""
     med = exact_quantiles(traces, ["channel"], "y", {"median": 0.5})

@@ -444,6 +444,13 @@ def peak_hours(profiles: DataFrame, keys: Sequence[str] = ("channel",)) -> DataF
     return sums.select(*keys, (F.pmod(F.atan2("sy", "sx"), turn) * 24.0 / turn).alias("peak_hour"))
 
 
+def class_profiles(profiles: DataFrame, classes: DataFrame) -> DataFrame:
+    """Median profile of each class: ``(cls, h, profile, n)``. ``classes``: ``(channel, cls)``."""
+    rows = profiles.join(classes, "channel")
+    counts = rows.groupBy("cls", "h").agg(F.count("p").alias("n"))
+    return exact_quantiles(rows, ["cls", "h"], "p", {"profile": 0.5}).join(counts, ["cls", "h"])
+
+
 def family_gain(traces: DataFrame, families: DataFrame) -> DataFrame:
     """Slope of each member's log trace on its family's mean log trace."""
     rows = log_traces(traces).join(families, "channel")
