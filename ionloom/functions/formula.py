@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Monoisotopic masses and the electron mass (Da).
@@ -115,6 +115,12 @@ def counts(formula: Column) -> Column:
     return F.struct(*[count_of(text, el).alias(field) for el, field in FIELDS.items()])
 
 
+def with_counts(df: DataFrame, formula: str, out: str = "el") -> DataFrame:
+    """``df`` plus the count struct of ``formula``; each distinct formula is parsed once."""
+    key = df.select(F.col(formula).alias("_formula")).distinct().withColumn(out, counts(F.col("_formula")))
+    return df.join(key, F.col(formula).eqNullSafe(F.col("_formula"))).drop("_formula")
+
+
 def n(el: Column, *elements: str) -> Column:
     """Sum of element counts out of a count struct."""
     total = el[FIELDS[elements[0]]]

@@ -102,7 +102,7 @@ def arbitrate(
     base = matched.where(F.col("is_base") & F.col("ion_score").isNotNull()).withColumn(
         "raw_score", F.least("ion_score", "compound_score")
     )
-    base = with_calibration(base.join(proof, ion, "left"), cal).withColumn("el", fx.counts(F.col("compound_formula")))
+    base = fx.with_counts(with_calibration(base.join(proof, ion, "left"), cal), "compound_formula")
     el, labels = F.col("el"), F.coalesce("labels", F.array().cast("array<string>"))
     penalty = F.lit(0.0)
     for e, weight in fx.COMPLEXITY.items():

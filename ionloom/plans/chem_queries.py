@@ -52,7 +52,13 @@ def c1(spark, sf):
 STEPS_SQL = """steps AS (SELECT * FROM (VALUES ('13C', 1.003355::DOUBLE), ('81Br', 1.9979521::DOUBLE), ('81Br2', 3.9959042::DOUBLE), ('37Cl', 1.997050::DOUBLE), ('34S', 1.995796::DOUBLE), ('29Si', 0.999568::DOUBLE)) t(step, delta))"""
 
 
-@query("J11_offset_partners")
+@query("J11_offset_partners", f"""WITH {SPECTRA}, st AS (SELECT * FROM (VALUES ('13C', 1.003355::DOUBLE), ('81Br', 1.9979521::DOUBLE)) t(step, delta)),
+tg AS (SELECT a.sample_item_id, a.peak_id, s.step, a.mz + s.delta AS target, CAST(floor((a.mz + s.delta) / 0.02) AS BIGINT) + d AS cell
+   FROM spectra a CROSS JOIN st s CROSS JOIN (SELECT unnest([-1, 0, 1]) AS d)),
+lib AS (SELECT sample_item_id, mz, height, CAST(floor(mz / 0.02) AS BIGINT) AS cell FROM spectra),
+h AS (SELECT t.sample_item_id, t.peak_id, t.step, max(b.height) AS h, arg_max(b.mz, (b.height, b.mz)) AS x FROM tg t JOIN lib b
+   ON b.sample_item_id = t.sample_item_id AND b.cell = t.cell WHERE abs(b.mz - t.target) <= t.target * 8e-6 GROUP BY 1, 2, 3)
+SELECT sample_item_id, peak_id, step, round(h, 4) AS partner_height, round(x, 7) AS partner_mz FROM h""")
 def j11(spark, sf):
     s = ad.spectra(spark, sf)
     out = chem.offset_partners(s, s, {"13C": 1.003355, "81Br": 1.9979521})
