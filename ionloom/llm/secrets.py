@@ -34,6 +34,8 @@ _CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 
 # Credentials per kind, and ordinary words, that the automata are learned from (bounds the fit).
 SAMPLE = 1000
+# Longest value that is learned from; longer ones are scored all the same.
+LONGEST = 4096
 # Significance of the test that keeps two states apart.
 ALPHA = 0.05
 # A candidate is a secret if some format is so much likelier than the background (natural log).
@@ -209,7 +211,7 @@ def fit(found: DataFrame, sample: int = SAMPLE, alpha: float = ALPHA) -> dict[st
     """
     labelled = found.select(F.explode("found").alias("f")).select("f.kind", "f.value")
     ordinary = found.select(F.explode("runs").alias("r")).select(F.lit(ORDINARY).alias("kind"), "r.value")
-    values = labelled.unionByName(ordinary).where(F.length("value") <= 4096).distinct()
+    values = labelled.unionByName(ordinary).where(F.length("value") <= LONGEST).distinct()
     order = Window.partitionBy("kind").orderBy(F.xxhash64("value"), "value")
     chosen = values.withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample).select("kind", "value").collect()
     by_kind: dict[str, list[str]] = {}
