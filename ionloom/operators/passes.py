@@ -214,12 +214,39 @@ def labelled_candidates(ledger: DataFrame, grid: DataFrame, adducts: Sequence[st
     return chem.candidates(free_peaks(ledger), heavy, adducts)
 
 
+# Shares of 29Si and 13C per atom, the 29Si step, how near its line must lie, and
+# the least share of the predicted M+1 that has to be there.
+SI29_SHARE, C13_SHARE, SI29_STEP, M1_REACH, M1_LEAST = 0.0468, 0.0107, 0.999568, 6e-3, 0.6
+
+
+def silicon_confirmed(scored: DataFrame, peaks: DataFrame) -> DataFrame:
+    """Scored rows of the ions that show a silicon line and an M+1 as high as their silicon count asks."""
+    ion = ["sample_item_id", "compound_formula", "ion_formula"]
+    matched = scored.where(F.col("sample_peak_id").isNotNull())
+    lines = matched.where(~F.col("is_base") & (F.col("iso_score") > 0.4) & F.col("iso_label").contains("Si")).select(*ion).distinct()
+    base = matched.where("is_base").select(*ion, "sample_peak_intensity", (F.col("sample_peak_mz") + SI29_STEP).alias("m1"))
+    base = fx.with_counts(base.join(lines, ion, "left_semi"), "ion_formula")
+    hit = axis.nearest(base, peaks.select("sample_item_id", "mz", "height"), "m1", "mz", ["height"], tol_ppm=1e-3,
+                       floor_da=M1_REACH, keys=["sample_item_id"], order=("height",))
+    wanted = F.col("el")["Si"] * SI29_SHARE + F.col("el")["C"] * C13_SHARE
+    seen = F.coalesce(F.col("hit.height"), F.lit(0.0)) / F.col("sample_peak_intensity")
+    good = hit.where((F.col("sample_peak_intensity") > 0) & (seen >= M1_LEAST * wanted)).select(*ion).distinct()
+    return scored.join(good, ion, "left_semi")
+
+
 def siloxane_pass(ledger: DataFrame, grid: DataFrame, adducts: Sequence[str], cal=None) -> DataFrame:
-    """Silicon-rich readings on chains of three or more peaks one siloxane unit apart."""
+    """Silicon-rich readings on chains of three or more peaks one siloxane unit apart.
+
+    A reading counts only if its silicon lines are there, and as high as its silicon count asks.
+    """
     chains = series.unit_chains(free_peaks(ledger, 0.0), fx.unit_mass("C2H6OSi"), 4.0, min_len=3)
     on = free_peaks(ledger, 0.0).join(chains.select("sample_item_id", "mz").distinct(), ["sample_item_id", "mz"], "left_semi")
     hits = cut_lineage(chem.candidates(on, grid.where(F.col("el")["Si"] >= 3), adducts))
-    return run_pass(ledger, hits, RULES["siloxane"], cal, only=hits)
+
+    def scorer(peaks: DataFrame, cands: DataFrame) -> DataFrame:
+        return silicon_confirmed(cut_lineage(chem.score_candidates(peaks, cands)), peaks)
+
+    return run_pass(ledger, hits, RULES["siloxane"], cal, only=hits, scorer=scorer)
 
 
 def isotope_recovery(ledger: DataFrame, grid: DataFrame, adducts: Sequence[str], cal=None) -> DataFrame:

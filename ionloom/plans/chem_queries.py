@@ -517,6 +517,15 @@ def c30(spark, sf):
     return passes.labelled_candidates(spectrum_ledger(spark, sf), grid(spark, sf), ADDUCTS).select(*PEAK, "adduct", "formula", "j")
 
 
+SI_BOX = {"C": (2, 28), "H": (6, 84), "N": (0, 2), "O": (1, 16), "Si": (3, 13)}
+
+
+@query("C31_siloxane_ladder")
+def c31(spark, sf):
+    wide = cut_lineage(chem.candidate_grid(spark, SI_BOX))
+    return _owned(passes.siloxane_pass(cut_lineage(spectrum_ledger(spark, sf)), wide, ADDUCTS), 8)
+
+
 @query("C33_reagent_isotopologues")
 def c33(spark, sf):
     return passes.reagent_isotopologues(cut_lineage(ad.ledger_rows(spark, sf)))
