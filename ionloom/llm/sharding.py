@@ -84,7 +84,9 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     # Written once: the row numbers hold from here on.
     rows = written(raw, "shard-rows")
     quotas = _quotas(rows.count(), shards)
+    # Tables that meet hot groups in a join are written first, so that the join can be split.
     sizes = rows.groupBy("grp").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    sizes = written(sizes, "shard-sizes")
     linked = written(
         rows.join(sizes, "grp").select("grp", "uid", F.pmod(F.xxhash64("uid"), F.lit(shards)).cast("int").alias("shard")),
         "shard-linked",
@@ -99,6 +101,7 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         Window.partitionBy("grp").orderBy(F.col("shard").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
     )
     ends = cells.withColumn("end", upto).groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("end", "shard"))).alias("ends"))
+    ends = written(ends, "shard-ends")
     ranks = running_total(linked.select("grp", "uid"), ["grp"], F.lit(1), ["uid"], "rank")
     dealt = ranks.join(ends, "grp").select(
         "uid", F.filter("ends", lambda e: e["end"] > F.col("rank"))[0]["shard"].alias("label")
