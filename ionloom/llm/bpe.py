@@ -38,7 +38,7 @@ _LATIN_WORDS = re.compile(
 )
 _NONE = np.int64(1 << 40)
 # Cached words and their total length; the cache starts anew beyond either.
-_CACHED, _CACHED_CHARS = 1 << 19, 1 << 24
+_CACHED, _CACHED_CHARS = 1 << 18, 1 << 23
 _PIECES = 1 << 20
 
 
@@ -224,8 +224,8 @@ class _Shared:
         return _ENCODERS[self.key]
 
 
-def encode(docs: DataFrame, path: str) -> DataFrame:
-    """``docs`` plus ``token_ids`` (array of int) and ``n_tokens``.
+def encode(docs: DataFrame, path: str, keep_text: bool = True) -> DataFrame:
+    """``docs`` plus ``token_ids`` (array of int) and ``n_tokens``, without the text if it is not kept.
 
     Ids are those of the vocabulary file's own tokenizer without added special tokens; the
     strings of special tokens within a text are matched. Null and empty texts have no ids;
@@ -233,7 +233,8 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     names of the new ones are replaced.
     """
     kept = docs.select([c for c in docs.columns if c not in ("token_ids", "n_tokens")])
-    schema = T.StructType([*kept.schema.fields, T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType())])
+    back = [i for i, c in enumerate(kept.columns) if keep_text or c != "text"]
+    schema = T.StructType([*[kept.schema.fields[i] for i in back], T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType())])
     shared = _Shared(docs.sparkSession, path)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,7 +247,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
                 values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
                 part = batch.slice(start, len(texts))
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.ListArray.from_arrays(pa.array(ends), values), pa.array(sizes)], names=schema.names
+                    [*[part.column(i) for i in back], pa.ListArray.from_arrays(pa.array(ends), values), pa.array(sizes)], names=schema.names
                 )
 
     return kept.mapInArrow(batches, schema)
