@@ -3,12 +3,13 @@
 A table hashes a vector by a few Gaussian (2-stable) projections, cut into cells of equal
 width. A query visits its own bucket and then perturbed ones, in the order of how likely they
 hold its neighbours: by the sum of squared distances to the cell walls that a perturbation
-crosses. The candidates of all tables are merged and ranked by their exact cosine.
+crosses, until one of its nearest would be met with a set probability. How far those are is
+measured on a sample of queries. The candidates of all tables are merged and ranked by their
+exact cosine.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
 from collections.abc import Iterator
 
@@ -20,8 +21,10 @@ from pyspark.sql import functions as F
 
 from ionloom.llm.common import written
 
-#: Tables, buckets visited per table, and cell width for vectors of length 1.
-TABLES, PROBES, CELL = 12, 128, 2.5
+#: Tables, and cell width for vectors of length 1.
+TABLES, CELL = 12, 2.5
+#: A neighbour as far as all but FAR of the nearest of SAMPLE queries is met with probability HIT.
+HIT, FAR, SAMPLE = 0.97, 0.05, 128
 #: A table has log2(vectors) - OFFSET projections, so buckets keep their size as vectors grow.
 OFFSET = 4
 #: Neighbours per query, and classes per query that the exact ranking sees.
@@ -44,28 +47,35 @@ def bucket(cells: np.ndarray) -> np.ndarray:
     return (h ^ (h >> np.uint64(29))).view(np.int64)
 
 
-def probes(place: np.ndarray, most: int = PROBES) -> np.ndarray:
+def probes(place: np.ndarray, most: int) -> np.ndarray:
     """Cells to visit for a query at ``place`` (in cells), likeliest first, its own cell first."""
     own = np.floor(place)
-    inside = place - own
-    moves = []
-    for x in inside:
-        options = [(0.0, 0)]
-        for step in range(1, _REACH + 1):
-            options += [((x + step - 1) ** 2, -step), ((step - x) ** 2, step)]
-        moves.append(sorted(options))
-    start = (0,) * len(moves)
-    heap, seen, out = [(0.0, start)], {start}, []
-    while heap and len(out) < most:
-        cost, state = heapq.heappop(heap)
-        out.append([moves[i][k][1] for i, k in enumerate(state)])
-        for i, k in enumerate(state):
-            if k + 1 < len(moves[i]):
-                after = (*state[:i], k + 1, *state[i + 1 :])
-                if after not in seen:
-                    seen.add(after)
-                    heapq.heappush(heap, (cost - moves[i][k][0] + moves[i][k + 1][0], after))
-    return own + np.array(out)
+    steps = np.array([0, *(sign * k for k in range(1, _REACH + 1) for sign in (-1, 1))])
+    inside = (place - own)[:, None]
+    gaps = np.where(steps < 0, inside - steps - 1, np.where(steps > 0, steps - inside, 0.0)) ** 2
+    cost, moves = np.zeros(1), np.zeros((1, 0), np.int64)
+    for gap in gaps:  # the cheapest cells begin with the cheapest beginnings
+        every = (cost[:, None] + gap).ravel()
+        least = np.argsort(every, kind="stable")[:most]
+        cost, moves = every[least], np.column_stack([moves[least // len(steps)], steps[least % len(steps)]])
+    return own + moves
+
+
+_GRID = np.linspace(-9, 9, 1 << 14)
+_NORMAL = np.array([math.erfc(-x / math.sqrt(2)) / 2 for x in _GRID])
+
+
+def enough(place: np.ndarray, distance: float, share: float) -> np.ndarray:
+    """The first of ``probes`` that hold a vector at ``distance`` with probability ``share`` in all."""
+    spread = distance / CELL
+    most = 32
+    while True:
+        cells = probes(place, most)
+        gap = (cells - place) / spread
+        met = np.cumsum(np.prod(np.interp(gap + 1 / spread, _GRID, _NORMAL) - np.interp(gap, _GRID, _NORMAL), axis=1))
+        if met[-1] >= share or len(cells) < most:
+            return cells[: int(np.searchsorted(met, share)) + 1]
+        most *= 4
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -91,6 +101,29 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.where(F.size("v") == (common["d"] if common else 0))
 
 
+def _far(classes: DataFrame, asked: DataFrame, nearest: int) -> float:
+    """The distance within which all but ``FAR`` of the nearest of some queries are, by brute force."""
+    some = asked.orderBy(F.xxhash64("cid"), "cid").limit(SAMPLE).collect()
+    if not some:
+        return 0.0
+    own, unit = np.array([r["cid"] for r in some]), _unit(np.array([r["v"] for r in some], np.float64))
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = np.full((len(own), nearest), -np.inf)
+        for batch in it:
+            if len(batch):
+                score = unit @ _unit(_matrix(batch.column(1))).T
+                score[own[:, None] == batch.column(0).to_numpy()] = -np.inf
+                best = np.sort(np.hstack([best, score]), axis=1)[:, -nearest:]
+        at, rank = np.nonzero(best > -np.inf)
+        yield pa.RecordBatch.from_arrays([pa.array(own[at]), pa.array(best[at, rank])], names=["cid", "score"])
+
+    first = Window.partitionBy("cid").orderBy(F.desc("score"))
+    found = classes.select("cid", "v").mapInArrow(batches, "cid long, score double")
+    scores = [r["score"] for r in found.withColumn("n", F.row_number().over(first)).where(F.col("n") <= nearest).collect()]
+    return math.sqrt(max(0.0, 2 - 2 * float(np.quantile(scores, FAR)))) if scores else 0.0
+
+
 def _hashed(classes: DataFrame, dimension: int, functions: int) -> DataFrame:
     """``tbl, grp, bucket, cid, v`` for every class and table; ``v`` is the unit vector as float32 bytes."""
 
@@ -109,8 +142,12 @@ def _hashed(classes: DataFrame, dimension: int, functions: int) -> DataFrame:
     return classes.mapInArrow(batches, "tbl int, grp int, bucket long, cid long, v binary")
 
 
-def _probed(classes: DataFrame, dimension: int, functions: int) -> DataFrame:
-    """``tbl, grp, buckets, cid, v``: what each query class visits, a row per table and group."""
+def _probed(classes: DataFrame, dimension: int, functions: int, distance: float) -> DataFrame:
+    """``tbl, grp, buckets, cid, v``: what each query class visits, a row per table and group.
+
+    A neighbour at ``distance`` is met in some table with probability ``HIT``.
+    """
+    share = 1 - (1 - HIT) ** (1 / TABLES)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -119,7 +156,7 @@ def _probed(classes: DataFrame, dimension: int, functions: int) -> DataFrame:
                 a, shift = projections(dimension, functions, table)
                 rows = []
                 for cid, vector, place in zip(batch.column(0).to_pylist(), unit, (unit @ a + shift) / CELL, strict=True):
-                    b = bucket(probes(place))
+                    b = np.unique(bucket(enough(place, distance, share)))
                     data = vector.astype(np.float32).tobytes()
                     rows += [(g, b[b % GROUPS == g].tobytes(), cid, data) for g in np.unique(b % GROUPS).tolist()]
                 grp, buckets, cids, data = zip(*rows, strict=True) if rows else ((), (), (), ())
@@ -202,7 +239,8 @@ def search(vectors: DataFrame, is_query: Column, nearest: int = NEAREST) -> Data
     part = F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int").alias("part")
     left = index.join(loads, ["tbl", "grp"]).select("tbl", "grp", part, "bucket", "cid", "v")
     every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
-    right = _probed(asked, dimension, functions).join(loads, ["tbl", "grp"]).select("tbl", "grp", every, "buckets", "cid", "v")
+    probed = _probed(asked, dimension, functions, _far(classes, asked, nearest))
+    right = probed.join(loads, ["tbl", "grp"]).select("tbl", "grp", every, "buckets", "cid", "v")
     keys = ["tbl", "grp", "part"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_rank_group, "cid long, near long, score double")
 

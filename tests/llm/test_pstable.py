@@ -81,3 +81,13 @@ def test_a_crowded_group_is_split(spark, monkeypatch):
     whole = _found(pstable.search(_frame(spark, rows), F.col("vec_id") % 50 == 0))
     monkeypatch.setattr(pstable, "GROUP_ROWS", 20)
     assert _found(pstable.search(_frame(spark, rows), F.col("vec_id") % 50 == 0)) == whole
+
+
+def test_recall_holds_with_many_projections(spark, monkeypatch):
+    """17 projections, as some two million vectors have them."""
+    monkeypatch.setattr(pstable, "OFFSET", -6)
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=32).tolist()) for i in range(2000)]
+    got, want = _found(pstable.search(_frame(spark, rows), F.col("vec_id") % 50 == 0)), _brute(rows, 50)
+    hits = sum(len({v for v, _ in got.get(q, [])} & {v for v, _ in want[q]}) for q in want)
+    assert hits >= 0.9 * 5 * len(want)
