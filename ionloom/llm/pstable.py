@@ -27,8 +27,8 @@ TABLES, CELL = 12, 2.5
 HIT, FAR, SAMPLE = 0.97, 0.05, 128
 #: A table has log2(vectors) - OFFSET projections, so buckets keep their size as vectors grow.
 OFFSET = 4
-#: Neighbours per query, and classes per query that the exact ranking sees.
-NEAREST, REFINED = 5, 12
+#: Neighbours per query.
+NEAREST = 5
 #: Buckets of a table are dealt to so many groups, larger groups are split at so many vectors.
 GROUPS, GROUP_ROWS = 16, 8192
 _REACH = 3  # cells that a perturbation moves at most
@@ -82,7 +82,14 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.stack(column.to_numpy(zero_copy_only=False)).astype(np.float64) if len(column) else np.zeros((0, 1))
 
 
+def _direction(vectors: np.ndarray) -> np.ndarray:
+    """Vectors divided by their largest component: equal for all multiples of a float vector."""
+    vectors = vectors.astype(np.float64)
+    return vectors / np.abs(vectors).max(axis=1, keepdims=True)
+
+
 def _unit(vectors: np.ndarray) -> np.ndarray:
+    vectors = _direction(vectors)
     return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
 
@@ -124,13 +131,14 @@ def _far(classes: DataFrame, asked: DataFrame, nearest: int) -> float:
     return math.sqrt(max(0.0, 2 - 2 * float(np.quantile(scores, FAR)))) if scores else 0.0
 
 
-def _hashed(classes: DataFrame, dimension: int, functions: int) -> DataFrame:
-    """``tbl, grp, bucket, cid, v`` for every class and table; ``v`` is the unit vector as float32 bytes."""
+def _hashed(classes: DataFrame, dimension: int, functions: int, kind: str) -> DataFrame:
+    """``tbl, grp, bucket, cid, v`` for every class and table; ``v`` is the vector as bytes of ``kind``."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            unit = _unit(_matrix(batch.column(1)))
-            data = pa.array([row.tobytes() for row in unit.astype(np.float32)], pa.binary())
+            given = _matrix(batch.column(1))
+            unit = _unit(given)
+            data = pa.array([row.tobytes() for row in given.astype(kind)], pa.binary())
             for table in range(TABLES):
                 a, shift = projections(dimension, functions, table)
                 b = bucket(np.floor((unit @ a + shift) / CELL))
@@ -142,7 +150,7 @@ def _hashed(classes: DataFrame, dimension: int, functions: int) -> DataFrame:
     return classes.mapInArrow(batches, "tbl int, grp int, bucket long, cid long, v binary")
 
 
-def _probed(classes: DataFrame, dimension: int, functions: int, distance: float) -> DataFrame:
+def _probed(classes: DataFrame, dimension: int, functions: int, kind: str, distance: float) -> DataFrame:
     """``tbl, grp, buckets, cid, v``: what each query class visits, a row per table and group.
 
     A neighbour at ``distance`` is met in some table with probability ``HIT``.
@@ -151,13 +159,14 @@ def _probed(classes: DataFrame, dimension: int, functions: int, distance: float)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            unit = _unit(_matrix(batch.column(1)))
+            given = _matrix(batch.column(1))
+            unit = _unit(given)
             for table in range(TABLES):
                 a, shift = projections(dimension, functions, table)
                 rows = []
-                for cid, vector, place in zip(batch.column(0).to_pylist(), unit, (unit @ a + shift) / CELL, strict=True):
+                for cid, vector, place in zip(batch.column(0).to_pylist(), given, (unit @ a + shift) / CELL, strict=True):
                     b = np.unique(bucket(enough(place, distance, share)))
-                    data = vector.astype(np.float32).tobytes()
+                    data = vector.astype(kind).tobytes()
                     rows += [(g, b[b % GROUPS == g].tobytes(), cid, data) for g in np.unique(b % GROUPS).tolist()]
                 grp, buckets, cids, data = zip(*rows, strict=True) if rows else ((), (), (), ())
                 yield pa.RecordBatch.from_arrays(
@@ -174,82 +183,85 @@ def _probed(classes: DataFrame, dimension: int, functions: int, distance: float)
     return classes.mapInArrow(batches, "tbl int, grp int, buckets binary, cid long, v binary")
 
 
-def _rank_group(index: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-    """The nearest candidates of each query within one group of buckets."""
+def _rank_group(index: pd.DataFrame, queries: pd.DataFrame, kind: str, most: int) -> pd.DataFrame:
+    """The ``most`` nearest candidates of each query within one group of buckets, by cosine in
+    double precision, ties to the smaller class. Rough scores only leave out what their
+    rounding cannot lift among them."""
     out: dict[str, list] = {"cid": [], "near": [], "score": []}
     if len(index) and len(queries):
         index = index.sort_values(["bucket", "cid"])
         keys, ids = index["bucket"].to_numpy(), index["cid"].to_numpy()
-        vectors = np.frombuffer(b"".join(index["v"]), np.float32).reshape(len(index), -1)
+        vectors = _direction(np.frombuffer(b"".join(index["v"]), kind).reshape(len(index), -1))
+        norms = np.sqrt((vectors * vectors).sum(axis=1))
+        rough = (vectors / norms[:, None]).astype(np.float32)
+        slack = 2 * (rough.shape[1] + 4) * 2.0**-24
         for cid, visited, data in zip(queries["cid"], queries["buckets"], queries["v"], strict=True):
             visited = np.frombuffer(visited, np.int64)
             lo, hi = np.searchsorted(keys, visited, "left"), np.searchsorted(keys, visited, "right")
-            parts = [np.arange(a, b) for a, b in zip(lo, hi, strict=True) if b > a]
-            if not parts:
+            sizes = hi - lo
+            if not sizes.any():
                 continue
-            at = np.concatenate(parts)
-            score = vectors[at] @ np.frombuffer(data, np.float32)
-            if len(at) > REFINED:
-                best = np.argpartition(-score, REFINED)[:REFINED]
-                at, score = at[best], score[best]
-            out["cid"] += [cid] * len(at)
-            out["near"] += ids[at].tolist()
-            out["score"] += score.astype(float).tolist()
+            at = np.repeat(lo - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+            asked = _direction(np.frombuffer(data, kind)[None])[0]
+            norm = math.sqrt((asked * asked).sum())
+            if len(at) > most:
+                score = rough[at] @ (asked / norm).astype(np.float32)
+                at = at[score >= np.partition(score, -most)[-most] - slack]
+            score = (vectors[at] * asked).sum(axis=1) / (norms[at] * norm)
+            best = np.lexsort((ids[at], -score))[:most]
+            out["cid"] += [cid] * len(best)
+            out["near"] += ids[at[best]].tolist()
+            out["score"] += score[best].tolist()
     return pd.DataFrame(out)
 
 
-def _exact(pairs: DataFrame) -> DataFrame:
-    """``cid, near, score`` from ``cid, near, a, b``: the cosine in double precision."""
-
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            rows = zip(_matrix(batch.column(2)), _matrix(batch.column(3)), strict=True)
-            score = [float(a @ b) / (math.sqrt(a @ a) * math.sqrt(b @ b)) for a, b in rows]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(score, pa.float64())], names=["cid", "near", "score"])
-
-    return pairs.select("cid", "near", "a", "b").mapInArrow(batches, "cid long, near long, score double")
-
-
 def search(vectors: DataFrame, is_query: Column, nearest: int = NEAREST) -> DataFrame:
     """``query_id, rank, vec_id, score``: the nearest vectors found for each query row.
 
     ``is_query`` is a condition on ``vec_id``. Candidates are all other rows, nearest first by
-    cosine, ties to the smaller id; fewer rows if there are fewer candidates. Equal vectors
-    form one class in the index, so however many share a vector they are hashed once; each
+    cosine, ties to the smaller id; fewer rows if there are fewer candidates. Vectors of equal
+    direction form one class in the index, so however many share one they are hashed once; each
     class offers its few smallest ids, which is all a query can use. Rows that take no part
     (see ``usable``) give no query either; an empty table gives no rows; extra columns are
     ignored.
     """
+    kind = "<f4" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "<f8"
     rows = usable(vectors)
-    classes = written(rows.groupBy("v").agg(F.min("vec_id").alias("cid")).select("cid", "v"), "ann-classes")
-    named = rows.join(classes, "v").select("vec_id", "cid")
+    largest = F.array_max(F.transform("v", lambda x: F.abs(x)))
+    rows = rows.withColumn("u", F.transform("v", lambda x: x / largest + 0.0))
+    classes = written(rows.groupBy("u").agg(F.min("vec_id").alias("cid"), F.min("v").alias("v")), "ann-classes")
+    named = rows.join(classes.select("u", "cid"), "u").select("vec_id", "cid")
     named = written(named, "ann-members")
     order = Window.partitionBy("cid").orderBy("vec_id")
     members = named.withColumn("n", F.row_number().over(order)).where(F.col("n") <= nearest + 1).select("cid", "vec_id")
     queries = named.where(is_query).select(F.col("vec_id").alias("query_id"), "cid")
 
     total = classes.count()
-    first = classes.first()
+    first = classes.select("v").first()
     dimension = len(first["v"]) if first else 1
     functions = max(1, round(math.log2(max(total, 1))) - OFFSET)
     asked = classes.join(queries.select("cid").distinct(), "cid", "left_semi").select("cid", "v")
 
-    index = written(_hashed(classes.select("cid", "v"), dimension, functions), "ann-index")
+    index = written(_hashed(classes.select("cid", "v"), dimension, functions, kind), "ann-index")
     loads = index.groupBy("tbl", "grp").agg(F.ceil(F.count(F.lit(1)) / GROUP_ROWS).cast("int").alias("parts"))
     part = F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int").alias("part")
     left = index.join(loads, ["tbl", "grp"]).select("tbl", "grp", part, "bucket", "cid", "v")
     every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
-    probed = _probed(asked, dimension, functions, _far(classes, asked, nearest))
+    probed = _probed(asked, dimension, functions, kind, _far(classes, asked, nearest))
     right = probed.join(loads, ["tbl", "grp"]).select("tbl", "grp", every, "buckets", "cid", "v")
     keys = ["tbl", "grp", "part"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_rank_group, "cid long, near long, score double")
+    most = nearest + 1  # one of the classes may be the query's own
+
+    def rank(index: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        return _rank_group(index, queries, kind, most)
+
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(rank, "cid long, near long, score double")
 
     merged = found.groupBy("cid", "near").agg(F.max("score").alias("score"))
     best = Window.partitionBy("cid").orderBy(F.desc("score"), "near")
-    merged = merged.withColumn("n", F.row_number().over(best)).where(F.col("n") <= REFINED).select("cid", "near")
-    a = classes.select("cid", F.col("v").alias("a"))
-    b = classes.select(F.col("cid").alias("near"), F.col("v").alias("b"))
-    scored = written(_exact(merged.join(a, "cid").join(b, "near")), "ann-scored")
+    scored = written(
+        merged.withColumn("n", F.row_number().over(best)).where(F.col("n") <= most).select("cid", "near", "score"), "ann-scored"
+    )
 
     answers = queries.join(scored, "cid").join(members.withColumnRenamed("cid", "near"), "near").where("vec_id <> query_id")
     ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

@@ -91,3 +91,17 @@ def test_recall_holds_with_many_projections(spark, monkeypatch):
     got, want = _found(pstable.search(_frame(spark, rows), F.col("vec_id") % 50 == 0)), _brute(rows, 50)
     hits = sum(len({v for v, _ in got.get(q, [])} & {v for v, _ in want[q]}) for q in want)
     assert hits >= 0.9 * 5 * len(want)
+
+
+def test_hot_groups_are_ranked_exactly(spark):
+    rng = np.random.default_rng(6)
+    base, other = rng.normal(size=16).astype(np.float32), rng.normal(size=16)
+    rows = [(1000 - i, (base * (i + 1)).tolist()) for i in range(40)]  # some multiples round to another direction
+    rows += [(2000 + i, (np.float32([1, -3, 5, 7]) * (60 - i)).tolist() + [0.0] * 12) for i in range(50)]
+    rows += [(3000 + i, (other + rng.normal(size=16) * 1e-4).tolist()) for i in range(600)]
+    got, want = _found(pstable.search(_frame(spark, rows), F.col("vec_id") % 50 == 0)), _brute(rows, 50)
+    for q in want:
+        assert len(got[q]) == 5
+        if q >= 3000:
+            assert [v for v, _ in got[q]] == [v for v, _ in want[q]]
+    assert [v for v, _ in got[2000]] == [2001, 2002, 2003, 2004, 2005]
