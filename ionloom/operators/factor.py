@@ -127,7 +127,7 @@ def q_expected(cells: DataFrame, k: int) -> float:
     return max(1.0, float(row["n"] - k * (row["s"] + row["b"])))
 
 
-def rank_scan(cells: DataFrame, ks: list[int], n_iter: int = 200, seed: int = 0) -> DataFrame:
+def rank_scan(cells: DataFrame, ks: list[int], n_iter: int = 500, seed: int = 0) -> DataFrame:
     """Q and its expectation for several factor numbers."""
     cells = cut_lineage(cells)
     rows = []

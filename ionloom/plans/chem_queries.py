@@ -635,16 +635,16 @@ def n1(spark, sf):
 
 @query("N2_N4_factor_timeseries")
 def n2(spark, sf):
-    g, _, _ = factor.wnmf(nmf_input(spark, sf), 2, n_iter=3)
+    g, _, _ = factor.wnmf(nmf_input(spark, sf), 2)
     return factor.factor_timeseries(g, matrix.sample_clock(ad.peaks(spark, sf)))
 
 
 @query("N3_rank_scan")
 def n3(spark, sf):
-    return factor.rank_scan(nmf_input(spark, sf), [1, 2], n_iter=2)
+    return factor.rank_scan(nmf_input(spark, sf), [2, 3, 4])
 
 
 @query("W15_factor_top_ions")
 def w15(spark, sf):
-    _, h, _ = factor.wnmf(nmf_input(spark, sf), 2, n_iter=3)
+    _, h, _ = factor.wnmf(nmf_input(spark, sf), 2)
     return factor.factor_top_ions(h, matrix.bin_table(matrix.binned_peaks(ad.peaks(spark, sf))))

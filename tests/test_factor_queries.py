@@ -1,0 +1,33 @@
+import inspect
+from unittest.mock import MagicMock
+
+from ionloom.operators import factor
+from ionloom.plans import chem_queries
+
+
+def test_the_whole_factorisation_is_registered(monkeypatch):
+    seen = []
+
+    def noted(function, result):
+        signature = inspect.signature(function)
+
+        def call(*args, **kwargs):
+            bound = signature.bind(*args, **kwargs)
+            bound.apply_defaults()
+            seen.append(bound.arguments)
+            return result
+
+        return call
+
+    monkeypatch.setattr(factor, "wnmf", noted(factor.wnmf, (None, None, [])))
+    monkeypatch.setattr(factor, "rank_scan", noted(factor.rank_scan, None))
+    for name in ("factor_timeseries", "factor_top_ions"):
+        monkeypatch.setattr(factor, name, lambda *_: None)
+    for name in ("matrix", "ad"):
+        monkeypatch.setattr(chem_queries, name, MagicMock())
+    monkeypatch.setattr(chem_queries, "nmf_input", lambda *_: None)
+    for query in (chem_queries.n2, chem_queries.n3, chem_queries.w15):
+        query(None, None)
+    assert [a["n_iter"] for a in seen] == [500, 500, 500]
+    assert [a["tol"] for a in seen if "tol" in a] == [1e-6, 1e-6]
+    assert seen[1]["ks"] == [2, 3, 4]
