@@ -9,7 +9,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ionloom.llm import bpe, exact_stream, golay, mixing, ngram_bloom, personal, pstable, quality, secrets, sharding
+from ionloom.llm import (
+    bpe,
+    cascade,
+    chebyshev,
+    exact_stream,
+    golay,
+    mixing,
+    ngram_bloom,
+    personal,
+    pstable,
+    quality,
+    secrets,
+    sharding,
+    slices,
+)
 from ionloom.llm.common import documents, id_remainder
 from ionloom.session import prepare
 
@@ -124,6 +138,59 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the 16 leading whitened components."""
+    return chebyshev.whiten(prepare(spark).read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The code of every vector and its error."""
+    return slices.compress(prepare(spark).read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def _op12_sql() -> str:
+    """Four rounds of assignment and refinement, then the last assignment. Whole numbers are held
+    as doubles, exact at this size; a key of distance and index settles ties."""
+    width, entries = 64 // slices.PARTS, slices.ENTRIES
+    ctes = [f"""
+v AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda c: floor({slices.SCALE} * c::DOUBLE)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+q AS MATERIALIZED (SELECT vec_id, label, p, x[p * {width} + 1 : p * {width} + {width}] AS q FROM v, range({slices.PARTS}) t(p)),
+b0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, q AS c FROM q QUALIFY e < {entries})"""]
+    for r in range(slices.ROUNDS + 1):
+        ctes.append(f"""
+a{r} AS MATERIALIZED (SELECT vec_id, label, q.p, q, min((list_inner_product(q, q) - 2 * list_inner_product(q, c)
+    + list_inner_product(c, c)) * {entries} + e)::BIGINT AS k FROM q JOIN b{r} b ON q.p = b.p GROUP BY ALL)""")
+        if r < slices.ROUNDS:
+            ctes.append(f"""
+m{r} AS (SELECT p, e, list(m ORDER BY i) AS c FROM (SELECT p, k % {entries} AS e, i, floor(sum(q[i]) / count(*)) AS m
+    FROM a{r}, range(1, {width + 1}) t(i) GROUP BY 1, 2, 3) GROUP BY 1, 2),
+b{r + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(m.c, b.c) AS c FROM b{r} b LEFT JOIN m{r} m ON m.p = b.p AND m.e = b.e)""")
+    last = slices.ROUNDS
+    return f"""WITH {",".join(ctes)},
+h AS (SELECT sha256(string_agg(array_to_string(list_transform(c, lambda v: v::BIGINT), ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b{last}),
+o AS (SELECT vec_id, label, string_agg(lpad(to_hex(k % {entries}), 2, '0'), '' ORDER BY p) AS code, sum(k // {entries})::BIGINT AS error
+  FROM a{last} GROUP BY 1, 2)
+SELECT vec_id, lower(code) AS code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM o, h"""
+
+
+def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule and verdict of every page's url."""
+    return cascade.judge(prepare(spark).read.parquet(f"{sf_dir}/pages.parquet"), cascade.rule_table(spark))
+
+
+OP13_SQL = f"""
+WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN url[strpos(url, '://') + 3 :] ELSE '' END AS rest FROM pages),
+w AS (SELECT page_id, coalesce(regexp_extract(rest, '^[^?#]*'), '') AS whole FROM u),
+s AS (SELECT page_id, translate(regexp_extract(whole, '^[^/]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  whole[length(regexp_extract(whole, '^[^/]*')) + 1 :] AS path FROM w),
+r(rule_host, rule_path, verdict) AS (VALUES {", ".join(str(r) for r in cascade.RULES)}),
+f AS (SELECT page_id, arg_max((rule_host || rule_path, verdict), length(rule_host || rule_path)) AS best FROM s JOIN r
+  ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY 1)
+SELECT s.page_id, host, path, best[1] AS rule, coalesce(best[2], '{cascade.UNLISTED}') AS verdict FROM s LEFT JOIN f ON f.page_id = s.page_id
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     return corpus_pipeline.run(prepare(spark), sf_dir)
@@ -140,7 +207,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_sharding": op9_sharding,
     "op10_simhash": op10_simhash,
+    "op11_whitening": op11_whitening,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_url_filters": op13_url_filters,
     "pipeline": pipeline,
 }
 
-ORACLES: dict[str, str] = {"op4_mixing": OP4_SQL, "op8_exact_dedup": OP8_SQL}
+ORACLES: dict[str, str] = {
+    "op4_mixing": OP4_SQL,
+    "op8_exact_dedup": OP8_SQL,
+    "op12_vector_codes": _op12_sql(),
+    "op13_url_filters": OP13_SQL,
+}
