@@ -126,7 +126,9 @@ def asked(host: Column, path: Column, shapes: list[tuple[int, int]]) -> list[Col
 
 
 def rule_table(spark: SparkSession, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
-    return spark.createDataFrame(rules, "host string, path string, verdict string")
+    fields = ("host", "path", "verdict")
+    structs = [F.struct(*[F.lit(v).cast("string").alias(f) for f, v in zip(fields, r, strict=True)]) for r in rules or [("", "", "")]]
+    return spark.range(1).select(F.inline(F.array(*structs))).where(F.lit(bool(rules)))
 
 
 def judge(pages: DataFrame, rules: DataFrame) -> DataFrame:
