@@ -616,13 +616,13 @@ def c28(spark, sf):
 
 
 # ------------------------------------------------------------------ factorisation
-NMF_IN = f"""nin AS (SELECT s.sample_item_id, b.bin, coalesce(c.height, 0) AS x, c.height IS NOT NULL AS seen FROM (SELECT DISTINCT sample_item_id FROM kc) s
+NMF_IN = f"""nin AS (SELECT s.sample_item_id, b.bin, coalesce(c.height, 0) AS x, c.height IS NOT NULL AS seen FROM (SELECT DISTINCT sample_item_id FROM cells) s
    CROSS JOIN (SELECT DISTINCT bin FROM kc) b LEFT JOIN kc c ON c.sample_item_id = s.sample_item_id AND c.bin = b.bin)"""
 
 
 def nmf_input(spark, sf):
     cells = matrix.matrix_cells(matrix.binned_peaks(ad.peaks(spark, sf)))
-    return factor.build_input(cells, 0.1)
+    return factor.sparse_input(cells, 0.1)
 
 
 @query("N1_factor_input", f"""WITH {CELLS}, kb AS (SELECT bin FROM cells GROUP BY 1 HAVING count(*) / (SELECT count(DISTINCT sample_item_id) FROM cells) >= 0.1),
@@ -630,7 +630,8 @@ kc AS (SELECT * FROM cells WHERE bin IN (SELECT bin FROM kb)), {NMF_IN},
 sc AS (SELECT median(height) AS med, max(height) AS top FROM kc WHERE height > 0)
 SELECT sample_item_id, bin, round(x, 2) AS x, round(CASE WHEN seen THEN sqrt((0.15 * x) ** 2 + (0.1 * med) ** 2) ELSE 3 * sqrt((0.15 * top) ** 2 + (0.1 * med) ** 2) END, 4) AS sigma FROM nin, sc""")
 def n1(spark, sf):
-    return nmf_input(spark, sf).select("sample_item_id", "bin", F.round("x", 2).alias("x"), F.round("sigma", 4).alias("sigma"))
+    cells = matrix.matrix_cells(matrix.binned_peaks(ad.peaks(spark, sf)))
+    return factor.build_input(cells, 0.1).select("sample_item_id", "bin", F.round("x", 2).alias("x"), F.round("sigma", 4).alias("sigma"))
 
 
 @query("N2_N4_factor_timeseries")
