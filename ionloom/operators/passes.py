@@ -239,8 +239,8 @@ def siloxane_pass(ledger: DataFrame, grid: DataFrame, adducts: Sequence[str], ca
 
     A reading counts only if its silicon lines are there, and as high as its silicon count asks.
     """
-    chains = series.unit_chains(free_peaks(ledger, 0.0), fx.unit_mass("C2H6OSi"), 4.0, min_len=3)
-    on = free_peaks(ledger, 0.0).join(chains.select("sample_item_id", "mz").distinct(), ["sample_item_id", "mz"], "left_semi")
+    chains = series.exclusive_chains(free_peaks(ledger, 0.0), fx.unit_mass("C2H6OSi"), 4.0, min_len=3)
+    on = free_peaks(ledger, 0.0).join(chains.select(*PEAK).distinct(), PEAK, "left_semi")
     hits = cut_lineage(chem.candidates(on, grid.where(F.col("el")["Si"] >= 3), adducts))
 
     def scorer(peaks: DataFrame, cands: DataFrame) -> DataFrame:
