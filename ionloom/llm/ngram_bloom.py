@@ -2,8 +2,10 @@
 
 N-gram counts are quantised to levels of powers of two. An n-gram of level q is entered q
 times, once per level, so its level is found by probing level after level until one is
-missing. The filter has a fixed size and is broadcast; documents are scored with smoothed
-probabilities made of the levels of words and word pairs.
+missing. All n-grams enter, from the first occurrence on. The filter is cut into segments by
+hash, each as wide as its own entries ask, so it grows with the corpus. A filter within a
+checked size is broadcast; a larger one stays a table, and probes are joined to their segment.
+Documents are scored with smoothed probabilities made of the levels of words and word pairs.
 """
 
 from __future__ import annotations
@@ -24,12 +26,12 @@ from ionloom.llm.common import id_remainder, written
 FOLDS = 10
 #: The end of a text as a token; no word can be a line break.
 END = b"\n"
-#: Size of the filter: segments, and bits in each, as powers of two. 16 MB, whatever the corpus.
-SEGMENT_BITS, BITS = 8, 19
-#: Probes per level.
-PROBES = 4
-#: Word pairs enter from this count on; words always do, room permitting.
-LEAST_PAIR = 2
+#: Segments of the filter, as a power of two.
+SEGMENT_BITS = 14
+#: Probes per level, and bits per entry; an absent n-gram passes with probability 0.024.
+PROBES, ENTRY_BITS = 4, 8
+#: A filter of up to so many bytes is broadcast; probes are joined to the segments of a larger one.
+BROADCAST_BYTES = 128 << 20
 #: Weight of the pair estimate against the word estimate.
 LAMBDA = 0.5
 #: Added to every word count.
@@ -89,119 +91,170 @@ def _runs(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
         yield start, texts
 
 
+def _segment(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - SEGMENT_BITS)).astype(np.int64)
+
+
 def count(texts: DataFrame) -> DataFrame:
-    """``h, word, n``: counts of words (with the word) and of word pairs (``word`` null) of ``texts (text)``."""
+    """``s, h, word, n``: counts of words (with the word) and of word pairs (``word`` null) of
+    ``texts (text)``, the rows of a segment ``s`` in one partition. One shuffle."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for _, run in _runs(batch.column(0)):
                 t = tokenize(run)
                 pairs, times = np.unique(t.pairs, return_counts=True)
+                h = np.concatenate([t.hashes, pairs])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.concatenate([t.hashes, pairs]).view(np.int64)),
+                        pa.array(_segment(h).astype(np.int32)),
+                        pa.array(h.view(np.int64)),
                         pa.array([*t.distinct, *[None] * len(pairs)], pa.binary()),
                         pa.array(np.concatenate([np.bincount(t.codes, minlength=len(t.distinct)), times])),
                     ],
-                    names=["h", "word", "n"],
+                    names=["s", "h", "word", "n"],
                 )
 
-    parts = texts.select(F.col("text").cast("binary")).mapInArrow(batches, "h long, word binary, n long")
-    return parts.groupBy("h", "word").agg(F.sum("n").alias("n")).where(F.col("word").isNotNull() | (F.col("n") >= LEAST_PAIR))
+    parts = texts.select(F.col("text").cast("binary")).mapInArrow(batches, "s int, h long, word binary, n long")
+    # Parts of a segment meet by its number; the groups below it then need no further shuffle.
+    return parts.repartition("s").groupBy("s", "h", "word").agg(F.sum("n").alias("n"))
+
+
+def _levels(counts: np.ndarray) -> np.ndarray:
+    """Level 1 for a count of 1, 2 for 2..3, and so on."""
+    return np.frexp(counts.astype(np.float64))[1]
+
+
+def _places(hashes: np.ndarray, level: int, probe: int, size: np.ndarray) -> np.ndarray:
+    """Bit of a hash for a level inside its own segment (of ``size`` bits), by double hashing."""
+    mixed = _mix(hashes + np.uint64(level * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+    step = (mixed >> np.uint64(40)) | np.uint64(1)
+    return (((mixed >> np.uint64(8)) + np.uint64(probe) * step) % size.astype(np.uint64)).astype(np.int64)
+
+
+def segment_bits(h: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """The bytes of one segment, a byte per entry."""
+    bits = np.zeros(ENTRY_BITS * max(8, int(levels.sum())), bool)
+    size = np.full(1, len(bits))
+    for level in range(1, int(levels.max(initial=0)) + 1):
+        inside = h[levels >= level]
+        for probe in range(PROBES):
+            bits[_places(inside, level, probe, size)] = True
+    return np.packbits(bits, bitorder="little")
+
+
+def build(counts: DataFrame) -> DataFrame:
+    """``s, bits, word, n``: the segments of the filter, and the words with their counts.
+
+    ``counts`` has the rows of a segment in one partition (``count``), where they are gathered as
+    numbers, about ten bytes each, until a segment's size is known.
+    """
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["s", "bits", "word", "n"]
+        hashes, levels = [], []
+        for batch in it:
+            n = batch.column(3).to_numpy(zero_copy_only=False)
+            hashes.append(batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64))
+            levels.append(_levels(n).astype(np.uint8))
+            words = batch.filter(batch.column(2).is_valid())
+            if len(words):
+                empty = [pa.nulls(len(words), t) for t in (pa.int32(), pa.binary())]
+                yield pa.RecordBatch.from_arrays([*empty, words.column(2), words.column(3)], names=names)
+        if not hashes:
+            return
+        h, level = np.concatenate(hashes), np.concatenate(levels)
+        by = np.argsort(_segment(h), kind="stable")
+        h, level = h[by], level[by]
+        segment, starts = np.unique(_segment(h), return_index=True)
+        for s, a, b in zip(segment, starts, np.r_[starts[1:], len(h)], strict=True):
+            bits = segment_bits(h[a:b], level[a:b].astype(np.int64))
+            row = [pa.array([int(s)], pa.int32()), pa.array([bits.tobytes()], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*row, pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64())], names=names)
+
+    return written(counts.mapInArrow(batches, "s int, bits binary, word binary, n long"), "ngram-filter")
 
 
 class Filter(NamedTuple):
-    """The bits, segment by segment, the lowest level that was entered, and a segment's width."""
+    """Segments one after the other: first byte and bits of each, no bits where there is none."""
 
+    starts: np.ndarray
+    sizes: np.ndarray
     bits: np.ndarray
-    lowest: int
-    width: int
 
     def levels(self, hashes: np.ndarray) -> np.ndarray:
         """Quantised count of each hash, 0 if it is not there. Errors are one-sided and rare."""
         out = np.zeros(len(hashes), np.int64)
-        active, level = np.arange(len(hashes)), self.lowest
+        segment = _segment(hashes)
+        active, level = np.flatnonzero(self.sizes[segment] > 0), 1
         while len(active):
             for probe in range(PROBES):
-                at = _places(hashes[active], level, probe, self.width)
-                active = active[(self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)]
+                own = segment[active]
+                at = _places(hashes[active], level, probe, self.sizes[own])
+                byte = self.bits[self.starts[own] + (at >> 3)]
+                active = active[(byte >> (at & 7).astype(np.uint8) & 1).astype(bool)]
             out[active] = level
             level += 1
         return out
 
 
-def _places(hashes: np.ndarray, level: int, probe: int, width: int) -> np.ndarray:
-    """Bit of a hash for a level: in the hash's own segment, by double hashing."""
-    mixed = _mix(hashes + np.uint64(level * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
-    step = (mixed >> np.uint64(40)) | np.uint64(1)
-    inside = ((mixed >> np.uint64(8)) + np.uint64(probe) * step) & np.uint64((1 << width) - 1)
-    return ((hashes >> np.uint64(64 - SEGMENT_BITS) << np.uint64(width)) | inside).astype(np.int64)
+def as_filter(rows: list[tuple[int, bytes]]) -> Filter:
+    """The filter of (segment, bytes)."""
+    sizes, starts = np.zeros(1 << SEGMENT_BITS, np.int64), np.zeros(1 << SEGMENT_BITS, np.int64)
+    at = 0
+    for s, bits in rows:
+        sizes[s], starts[s] = 8 * len(bits), at
+        at += len(bits)
+    return Filter(starts, sizes, np.frombuffer(b"".join(b for _, b in rows), np.uint8))
 
 
-def build(counts: DataFrame, width: int = BITS) -> Filter:
-    """The filter of ``counts (h, n)``.
+def joined_levels(probes: DataFrame, segments: DataFrame) -> DataFrame:
+    """``h, level`` of distinct ``probes (h)``: each meets the segment that holds its bits."""
 
-    The lowest level that enters is the least one at which at most half the bits get set, by
-    the same rule at every size; what is below counts as unseen. Partitions own segments, so
-    each segment is made in one place and at most 16 MB reach the driver.
-    """
-    level = (F.floor(F.log2("n") + 1e-9) + 1).cast("int")
-    entries = counts.select("h", level.alias("level"))
-    per_level = {r["level"]: r["count"] for r in entries.groupBy("level").count().collect()}
-    room = math.log(2) * (1 << (SEGMENT_BITS + width))
+    def probe(left: pa.Table, right: pa.Table) -> pa.Table:
+        h = left.column("h").combine_chunks().to_numpy(zero_copy_only=False).view(np.uint64)
+        made = as_filter([(r["s"], r["bits"]) for r in right.to_pylist()])
+        return pa.table({"h": pa.array(h.view(np.int64)), "level": pa.array(made.levels(h).astype(np.int32))})
 
-    def needed(lowest: int) -> int:
-        return PROBES * sum((lv - lowest + 1) * n for lv, n in per_level.items() if lv >= lowest)
-
-    lowest = next(lv for lv in range(1, 66) if needed(lv) <= room)
-    size = 1 << (width - 3)
-
-    def segments(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made: dict[int, np.ndarray] = {}
-        for batch in it:
-            h = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            top = batch.column(1).to_numpy(zero_copy_only=False)
-            places = [
-                _places(h[top >= lv], lv, probe, width)
-                for lv in range(lowest, int(top.max(initial=0)) + 1)
-                for probe in range(PROBES)
-            ]
-            at = np.unique(np.concatenate(places)) if places else np.zeros(0, np.int64)
-            for segment in np.unique(at >> width):
-                bits = made.setdefault(int(segment), np.zeros(size, np.uint8))
-                inside = at[at >> width == segment] & ((1 << width) - 1)
-                np.bitwise_or.at(bits, inside >> 3, (1 << (inside & 7)).astype(np.uint8))
-        for segment, bits in made.items():
-            yield pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), pa.array([bits.tobytes()])], names=["s", "b"])
-
-    owned = entries.where(F.col("level") >= lowest).repartition(F.shiftrightunsigned("h", 64 - SEGMENT_BITS))
-    bits = np.zeros(size << SEGMENT_BITS, np.uint8)
-    for row in owned.mapInArrow(segments, "s int, b binary").collect():
-        bits[row["s"] * size : (row["s"] + 1) * size] = np.frombuffer(row["b"], np.uint8)
-    return Filter(bits, lowest, width)
+    placed = probes.select(F.shiftrightunsigned("h", 64 - SEGMENT_BITS).cast("int").alias("s"), "h")
+    return placed.groupBy("s").cogroup(segments.groupBy("s")).applyInArrow(probe, "h long, level int")
 
 
 class Model(NamedTuple):
-    """The filter, training totals, and exact counts of the most frequent words."""
+    """The filter (None if it stays a table), training totals, and exact counts of the most frequent words."""
 
-    filter: Filter
+    filter: Filter | None
     tokens: int
     distinct: int
     texts: int
+    amounts: float
     frequent: dict[bytes, int]
 
     @property
     def scale(self) -> float:
+        """Sum of all exact counts, smoothed."""
         return self.tokens + ADDED * (self.distinct + 1)
 
+    @property
+    def mass(self) -> float:
+        """Sum of all quantised counts, smoothed."""
+        return self.amounts + ADDED * (self.distinct + 1)
+
     def logs(self, t: Tokens) -> np.ndarray:
-        """log10 of the smoothed probability of each token after the one before it."""
-        words = _amount(self.filter.levels(t.hashes))
-        single = (words[t.codes] + ADDED) / self.scale
+        """log10 of the smoothed probability of each token after the one before it.
+
+        A word's share is its quantised count of their sum. A pair counts with the least count of
+        its level, its context with the greatest, so the shares after a context sum to at most 1.
+        """
+        if self.filter is None:
+            return np.zeros(len(t.codes))
+        levels = self.filter.levels(t.hashes)
+        single = (_amount(levels)[t.codes] + ADDED) / self.mass
         distinct, back = np.unique(t.pairs, return_inverse=True)
-        pair = _amount(self.filter.levels(distinct))[back]
-        context = np.where(t.previous < 0, float(self.texts), words[t.previous])
-        share = np.minimum(1.0, pair / np.maximum(np.maximum(context, pair), 1.0))
+        least = np.exp2(self.filter.levels(distinct) - 1.0)
+        pair = np.where(least >= 1, least, 0.0)[back]
+        context = np.where(t.previous < 0, float(self.texts), np.exp2(levels.astype(float))[t.previous] - 1)
+        share = np.minimum(1.0, pair / np.maximum(context, 1.0))
         return np.log10(np.where(context > 0, (1 - LAMBDA) * single + LAMBDA * share, single))
 
 
@@ -211,23 +264,74 @@ def _amount(levels: np.ndarray) -> np.ndarray:
     return np.where(levels > 0, (high / 2 + high - 1) / 2, 0.0)
 
 
-def fit(train: DataFrame) -> tuple[Model, DataFrame]:
-    """The model of ``train (text)`` and the exact counts of its words, ``word, n``."""
-    counts = written(count(train), "ngram-counts")
-    words = counts.where("word is not null").select("word", "n")
-    step = F.floor(8 * F.log2("n")).alias("step")
-    total = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("word")).first()
+def fit(train: DataFrame) -> tuple[Model, DataFrame, DataFrame]:
+    """The model of ``train (text)``, the exact counts of its words (``word, n``), and the segments."""
+    made = build(count(train))
+    words = made.where("word is not null").select("word", "n")
+    segments = made.where("bits is not null").select("s", "bits")
+    high = F.pow(F.lit(2.0), F.floor(F.log2("n") + 1e-9) + 1)
+    total = words.agg(
+        F.coalesce(F.sum("n"), F.lit(0)), F.count("word"), F.coalesce(F.sum((high * 1.5 - 1) / 2), F.lit(0.0))
+    ).first()
     texts = words.where(F.col("word") == F.lit(END)).first()
+    step = F.floor(8 * F.log2("n")).alias("step")
     room, least = FREQUENT, None
     for row in words.groupBy(step).count().orderBy(F.desc("step")).collect():
         if (room := room - row["count"]) < 0:
             break
         least = row["step"]
     frequent = words.where(step >= least).collect() if least is not None else []
-    model = Model(
-        build(counts), total[0], total[1], texts["n"] if texts else 0, {bytes(r["word"]): r["n"] for r in frequent}
+    size = segments.agg(F.coalesce(F.sum(F.length("bits")), F.lit(0))).first()[0]
+    held = as_filter([tuple(r) for r in segments.collect()]) if size <= BROADCAST_BYTES else None
+    counts = {bytes(r["word"]): r["n"] for r in frequent}
+    return Model(held, total[0], total[1], texts["n"] if texts else 0, total[2], counts), words, segments
+
+
+def joined_scores(numbered: DataFrame, model: Model, segments: DataFrame) -> DataFrame:
+    """``uid, score`` with a filter that stays a table.
+
+    A text's distinct pairs leave it with their words' hashes. Every distinct n-gram is probed
+    once, in its segment; each distinct pair gets its log-probability, which returns to the texts.
+    """
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for start, run in _runs(batch.column(1)):
+                t = tokenize(run)
+                ends = np.r_[t.starts[1:], len(t.codes)]
+                text = np.repeat(np.arange(len(run)), ends - t.starts)
+                order = np.lexsort([t.pairs, text])
+                new = np.r_[True, (np.diff(text[order]) != 0) | (np.diff(t.pairs[order]) != 0)]
+                at = order[new]
+                times = np.diff(np.r_[np.flatnonzero(new), len(order)])
+                previous = pa.array(t.hashes[t.previous[at]].view(np.int64), mask=t.previous[at] < 0)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).slice(start, len(run)).take(pa.array(text[at])),
+                        pa.array(t.pairs[at].view(np.int64)), pa.array(t.hashes[t.codes[at]].view(np.int64)), previous, pa.array(times),
+                    ],
+                    names=["uid", "p", "w", "b", "times"],
+                )
+
+    grams = written(numbered.select("uid", "text").mapInArrow(batches, "uid long, p long, w long, b long, times long"), "lm-pairs")
+    pairs = written(grams.select("p", "w", "b").distinct(), "lm-distinct")
+    probes = pairs.select(F.explode(F.array("p", "w", "b")).alias("h")).where("h is not null").distinct()
+    level = written(joined_levels(probes, segments), "lm-levels")
+
+    def of(name: str) -> DataFrame:
+        return level.select(F.col("h").alias(name), F.col("level").alias(f"level_{name}"))
+
+    known = pairs.join(of("p"), "p").join(of("w"), "w").join(of("b"), "b", "left")
+    high = F.pow(F.lit(2.0), F.col("level_w"))
+    amount = F.when(F.col("level_w") > 0, (high / 2 + high - 1) / 2).otherwise(0.0)
+    single = (amount + ADDED) / F.lit(model.mass)
+    least = F.when(F.col("level_p") > 0, F.pow(F.lit(2.0), F.col("level_p") - 1)).otherwise(0.0)
+    context = F.when(F.col("b").isNull(), F.lit(float(model.texts))).otherwise(F.pow(F.lit(2.0), F.col("level_b")) - 1)
+    share = F.least(F.lit(1.0), least / F.greatest(context, F.lit(1.0)))
+    log = F.log10(F.when(context > 0, single * (1 - LAMBDA) + share * LAMBDA).otherwise(single))
+    return grams.join(known.select("p", "w", "b", log.alias("log")).drop("w", "b").dropDuplicates(["p"]), "p").groupBy("uid").agg(
+        F.sum(F.col("log") * F.col("times")).alias("score")
     )
-    return model, words
 
 
 def held_out(doc_id: Column) -> Column:
@@ -241,10 +345,11 @@ def score(docs: DataFrame) -> DataFrame:
     empty text there. ``base_score`` uses exact word counts: those of the most frequent words
     come with the model, the rest of a document's words meet theirs in a join. Null and empty
     texts consist of their end; repeated rows score alike; with nothing to learn from all
-    counts are 0; an empty table gives no rows; extra columns are ignored.
+    counts are 0; an empty table gives no rows; extra columns are ignored. Very long texts are
+    counted and scored whole, one run each.
     """
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
-    model, words = fit(rows.where(~F.col("held_out")).select("text"))
+    model, words, segments = fit(rows.where(~F.col("held_out")).select("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = ["doc_id", "held_out", "uid", "n_tokens", "known", "base", "score", "rest"]
 
@@ -277,6 +382,9 @@ def score(docs: DataFrame) -> DataFrame:
 
     id_type = rows.schema["doc_id"].dataType.simpleString()
     numbered = rows.select("doc_id", "held_out", F.monotonically_increasing_id().alias("uid"), F.col("text").cast("binary"))
+    if model.filter is None:
+        # Numbers given by the plan may differ between runs of it; these are read back.
+        numbered = written(numbered, "lm-numbered")
     scored = written(
         numbered.mapInArrow(
             batches,
@@ -285,6 +393,8 @@ def score(docs: DataFrame) -> DataFrame:
         ),
         "lm-scored",
     )
+    if model.filter is None:
+        scored = scored.drop("score").join(joined_scores(numbered, model, segments), "uid")
     rare = scored.select("uid", F.inline("rest")).join(words, "word", "left")
     log = F.log10((F.coalesce("n", F.lit(0)) + ADDED) / F.lit(float(model.scale)))
     sums = rare.groupBy("uid").agg(

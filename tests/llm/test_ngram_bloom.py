@@ -38,25 +38,74 @@ def test_base_scores_equal_brute_force(spark, monkeypatch, frequent):
         assert r["score"] <= 0
 
 
-def test_levels_come_back(spark):
+def _counted(spark, hashes, counts):
+    rows = [(int(h) >> 64 - lm.SEGMENT_BITS, int(h) - (1 << 64) if h >> np.uint64(63) else int(h), None, int(n)) for h, n in zip(hashes, counts, strict=True)]
+    return spark.createDataFrame(rows, "s int, h long, word binary, n long").repartition("s")
+
+
+def _filter(made):
+    return lm.as_filter([tuple(r) for r in made.where("bits is not null").select("s", "bits").collect()])
+
+
+def test_levels_come_back_from_the_first_occurrence_on(spark):
     rng = np.random.default_rng(2)
-    hashes = rng.integers(-(1 << 63), 1 << 63, 20_000)
+    hashes = rng.integers(0, 1 << 64, 20_000, np.uint64)
+    hashes[:9000] >>= np.uint64(lm.SEGMENT_BITS)  # a segment with almost half of all
     counts = np.minimum((1 / rng.random(20_000)).astype(np.int64), 1 << 30)
-    frame = spark.createDataFrame([(int(h), int(n)) for h, n in zip(hashes, counts, strict=True)], "h long, n long")
-    made = lm.build(frame)
-    levels = made.levels(hashes.view(np.uint64))
-    want = np.floor(np.log2(counts)).astype(int) + 1
-    assert (levels >= want).all() and (levels == want).mean() > 0.999
-    assert (made.levels(rng.integers(0, 1 << 63, 20_000).astype(np.uint64)) == 0).mean() > 0.999
-
-
-def test_a_full_filter_drops_the_lowest_levels(spark):
-    frame = spark.range(60_000).selectExpr("xxhash64(id) AS h", "if(id % 100 = 0, 64L, 1L) AS n")
-    made = lm.build(frame, width=8)
-    assert made.lowest > 1
-    assert np.unpackbits(made.bits).mean() <= 0.55
-    top = np.array([r["h"] for r in frame.where("n = 64").collect()]).view(np.uint64)
-    assert (made.levels(top) >= 7).all()
+    made = lm.build(_counted(spark, hashes, counts))
+    found = _filter(made)
+    levels, want = found.levels(hashes), np.floor(np.log2(counts)).astype(int) + 1
+    assert (counts == 1).any() and (levels >= want).all() and (levels == want).mean() > 0.96
+    assert (found.levels(rng.integers(0, 1 << 63, 20_000).astype(np.uint64)) == 0).mean() > 0.96
+    probes = spark.createDataFrame([(int(h.view(np.int64)),) for h in hashes[8000:12000]], "h long").distinct()
+    joined = {r["h"]: r["level"] for r in lm.joined_levels(probes, made.where("bits is not null").select("s", "bits")).collect()}
+    assert joined == {int(h.view(np.int64)): int(v) for h, v in zip(hashes[8000:12000], levels[8000:12000], strict=True)}
+
+
+def test_the_filter_grows_with_what_it_holds(spark):
+    rng = np.random.default_rng(4)
+    sizes = []
+    for n in (20_000, 200_000):
+        hashes = np.sort(rng.integers(0, 1 << 56, n, np.uint64))  # 64 segments
+        found = _filter(lm.build(_counted(spark, hashes, np.ones(n))))
+        assert np.unpackbits(found.bits).mean() <= 0.41
+        assert (found.levels(hashes) >= 1).all()
+        sizes.append(len(found.bits))
+    assert 9 <= sizes[1] / sizes[0] <= 11
+
+
+def _scores(docs):
+    return sorted((str(r["doc_id"]), r["n_tokens"], round(r["base_score"], 9), round(r["score"], 6)) for r in lm.score(docs).collect())
+
+
+def test_a_filter_kept_as_a_table_scores_alike(spark, monkeypatch):
+    docs = odd(spark).unionByName(
+        spark.range(300).selectExpr("id + 100 AS doc_id", "concat('alpha beta ', id % 7, ' gamma ', id % 31) AS text"), allowMissingColumns=True
+    )
+    broadcast = _scores(docs)
+    monkeypatch.setattr(lm, "BROADCAST_BYTES", -1)
+    assert _scores(docs) == broadcast
+
+
+def test_more_text_does_not_lower_the_counts_of_what_is_known(spark):
+    """Pairs seen once keep their level however much else there is."""
+    few = spark.range(50).selectExpr("concat('once', id, ' upon', id) AS text")
+    more = few.unionByName(spark.range(5000).selectExpr("concat('other', id, ' words', id * 7, ' too', id % 11) AS text"))
+    t = lm.tokenize([f"once{i} upon{i}".encode() for i in range(50)])
+    for texts in (few, more):
+        levels = lm.fit(texts)[0].filter.levels(t.pairs)
+        assert (levels >= 1).all() and (levels[t.codes != t.distinct.index(lm.END)] == 1).mean() > 0.9
+
+
+def test_probabilities_after_a_context_sum_to_at_most_one(spark):
+    docs = spark.range(900).selectExpr("concat('a ', array('b', 'c', 'd', 'e')[id % 4], ' ', array('b', 'c')[id % 2]) AS text")
+    model = lm.fit(docs)[0]
+    for before in (b"a", b"b", b"c"):
+        total = 0.0
+        for word in (b"a", b"b", b"c", b"d", b"e", lm.END):
+            t = lm.tokenize([before if word == lm.END else before + b" " + word])
+            total += 10 ** model.logs(t)[1]
+        assert total <= 1.0
 
 
 def test_pairs_help_on_held_out_texts(spark):
