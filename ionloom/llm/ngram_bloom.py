@@ -77,12 +77,12 @@ def tokenize(texts: list[bytes]) -> Tokens:
     return Tokens(distinct, hashes, codes, previous, pairs, starts)
 
 
-def _runs(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
+def _runs(column: pa.Array, most: int = _CHUNK) -> Iterator[tuple[int, list[bytes]]]:
     """(first row, texts) of runs of rows of bounded length; a text is never cut, null is empty."""
     start, size, texts = 0, 0, []
     for row, text in enumerate(column):
         data = text.as_py() or b""
-        if texts and size + len(data) > _CHUNK:
+        if texts and size + len(data) > most:
             yield start, texts
             start, size, texts = row, 0, []
         texts.append(data)
@@ -356,7 +356,7 @@ def score(docs: DataFrame) -> DataFrame:
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in it:
-            for start, run in _runs(batch.column(3)):
+            for start, run in _runs(batch.column(3), _CHUNK // 2):
                 t = tokenize(run)
                 exact = np.array([m.frequent.get(w, 0) for w in t.distinct], np.float64)
                 logs = np.where(exact > 0, np.log10((exact + ADDED) / m.scale), 0.0)
