@@ -145,22 +145,6 @@ def pair_pass(ledger: DataFrame, grid: DataFrame, adducts: Sequence[str], cal=No
     return run_pass(ledger, hits, RULES["pairs"], cal, only=hits)
 
 
-def certified_pass(ledger: DataFrame, grid: DataFrame, offsets: Sequence[tuple[str, int, float]], cal=None, max_candidates: int = 24) -> DataFrame:
-    """Pass 7: neutrals on which several channels agree, enumerated on the wide grid.
-
-    A certificate with more candidate formulas than ``max_candidates`` decides
-    nothing and is left alone, as the rule says.
-    """
-    members = cut_lineage(chem.certificates(free_peaks(ledger), offsets).where("cluster_order = 0"))
-    hits = axis.band_join(
-        members, grid, F.col("core_mass"), F.col("mass"), None,
-        F.abs(F.col("mass") - F.col("core_mass")) <= 2e-3, width=2e-3,
-    )
-    few = hits.groupBy("cert").agg(F.count_distinct("formula").alias("n")).where(F.col("n") <= max_candidates)
-    hits = cut_lineage(hits.join(few, "cert", "left_semi"))
-    return run_pass(ledger, hits, RULES["certified"], cal, only=hits)
-
-
 def known_species(
     ledger: DataFrame, species: DataFrame, adducts: Sequence[str], prior: DataFrame | None = None, cal=None, tol_ppm: float = 2.0
 ) -> DataFrame:

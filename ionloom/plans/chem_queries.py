@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ionloom.functions import formula as fx
-from ionloom.operators import audit, axis, chem, claims, factor, matrix, passes, rules
+from ionloom.operators import audit, axis, certified, chem, claims, factor, matrix, passes, rules
 from ionloom.plans import adapters as ad
 from ionloom.plans.adapters import BINS, CELLS, LEDGER, LROWS, PEAKS, SPECTRA
 from ionloom.plans.registry import query
@@ -497,9 +497,13 @@ def c11(spark, sf):
     return _owned(passes.pair_pass(cut_lineage(spectrum_ledger(spark, sf)), cut_lineage(grid(spark, sf)), ADDUCTS), 4)
 
 
+CERT_BOX = {"C": (4, 23), "H": (0, 60), "N": (0, 2), "O": (0, 8), "P": (0, 2), "S": (0, 3), "Cl": (0, 2)}
+
+
 @query("C15_certified_pass")
 def c15(spark, sf):
-    return _owned(passes.certified_pass(cut_lineage(spectrum_ledger(spark, sf)), cut_lineage(grid(spark, sf)), OFFSETS), 7)
+    wide = cut_lineage(chem.candidate_grid(spark, CERT_BOX))
+    return _owned(certified.certified_pass(cut_lineage(spectrum_ledger(spark, sf)), wide, OFFSETS)[0], 7)
 
 
 @query("C16_known_species")
