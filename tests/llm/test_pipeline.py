@@ -1,6 +1,7 @@
 """The pipeline, stage by stage, against brute force on the smallest tables and on awkward rows."""
 
 from collections import defaultdict
+from itertools import combinations
 
 import public_tokenizers
 from pyspark.sql import functions as F
@@ -9,8 +10,8 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from ionloom.llm import quality
 from tests.llm.rows import none, odd, words
-from tests.llm.test_golay import _components, _fingerprint
 from tests.llm.test_mixing import _targets
+from tests.llm.test_resembling import shingles, similarity
 
 DATA = "/root/testdata/sf0.001"
 NAMES = [name for name, _ in corpus_pipeline.STAGES]
@@ -51,9 +52,14 @@ def _check(steps, model):
                     best[k] = r
             assert sorted(map(key, after)) == sorted(map(key, best.values()))
         elif name == "near_dedup":
-            comps = _components([(r["doc_id"], _fingerprint(r["text"])) for r in before])
-            want = {c for c in comps if c is not None}
-            assert {r["doc_id"] for r in after if r["doc_id"] is not None} == want
+            sets = [shingles(r["text"]) for r in before]
+            near = [(similarity(sets[a], sets[b]), a, b) for a, b in combinations(range(len(before)), 2)]
+            kept = sorted(map(key, after))
+            some = {i for s, a, b in near if s >= 0.5 for i in (a, b)}
+            assert all(key(r) in kept for i, r in enumerate(before) if i not in some)
+            copies = [(a, b) for s, a, b in near if s >= 0.9 and key(before[a]) != key(before[b])]
+            assert not any(key(before[a]) in kept and key(before[b]) in kept for a, b in copies)
+            assert set(kept) <= set(map(key, before))
         elif name == "mixing":
             sizes, taken = defaultdict(int), defaultdict(int)
             longest = defaultdict(int)
