@@ -224,17 +224,21 @@ class _Shared:
         return _ENCODERS[self.key]
 
 
-def encode(docs: DataFrame, path: str, keep_text: bool = True) -> DataFrame:
+def encode(docs: DataFrame, path: str, keep_text: bool = True, check: bool = False) -> DataFrame:
     """``docs`` plus ``token_ids`` (array of int) and ``n_tokens``, without the text if it is not kept.
 
+    With ``check`` the ids are decoded again: ``decoded_sha256`` digests the decoded text (UTF-8).
+
     Ids are those of the vocabulary file's own tokenizer without added special tokens; the
     strings of special tokens within a text are matched. Null and empty texts have no ids;
     repeated rows are encoded alike; an empty table gives no rows. Columns of ``docs`` with the
     names of the new ones are replaced.
     """
-    kept = docs.select([c for c in docs.columns if c not in ("token_ids", "n_tokens")])
+    kept = docs.select([c for c in docs.columns if c not in ("token_ids", "n_tokens", "decoded_sha256")])
     back = [i for i, c in enumerate(kept.columns) if keep_text or c != "text"]
     schema = T.StructType([*[kept.schema.fields[i] for i in back], T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType())])
+    if check:
+        schema = schema.add("decoded_sha256", T.StringType())
     shared = _Shared(docs.sparkSession, path)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,8 +250,10 @@ def encode(docs: DataFrame, path: str, keep_text: bool = True) -> DataFrame:
                 ends = np.r_[0, np.cumsum(sizes)].astype(np.int32)
                 values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
                 part = batch.slice(start, len(texts))
+                digests = [pa.array([hashlib.sha256(coder.decode(i).encode()).hexdigest() for i in ids], pa.string())] if check else []
                 yield pa.RecordBatch.from_arrays(
-                    [*[part.column(i) for i in back], pa.ListArray.from_arrays(pa.array(ends), values), pa.array(sizes)], names=schema.names
+                    [*[part.column(i) for i in back], pa.ListArray.from_arrays(pa.array(ends), values), pa.array(sizes), *digests],
+                    names=schema.names,
                 )
 
     return kept.mapInArrow(batches, schema)

@@ -1,5 +1,6 @@
 """The pipeline, stage by stage, against brute force on the smallest tables and on awkward rows."""
 
+import hashlib
 from collections import defaultdict
 from itertools import combinations
 
@@ -79,6 +80,7 @@ def _check(steps, model):
             for r in after:
                 assert r["n_tokens"] == len(r["token_ids"])
                 assert public.decode(r["token_ids"], skip_special_tokens=False) in texts[r["doc_id"]]
+                assert r["decoded_sha256"] in {hashlib.sha256(t.encode()).hexdigest() for t in texts[r["doc_id"]]}
                 if r["n_tokens"]:
                     text = public.decode(r["token_ids"], skip_special_tokens=False)
                     assert public.encode(text, add_special_tokens=False).ids == r["token_ids"]
