@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import ahocorasick
 import pyarrow as pa
@@ -30,10 +31,11 @@ _LOCAL = re.compile(r"[A-Za-z0-9._%+-]*\Z")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _PHONE = re.compile(r"[0-9][ ().0-9-]*")
 _LOGIN = re.compile(r"[A-Za-z0-9._~%!$&'*+;=-]+:[^\s/@:]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*(?::[0-9]+)?")
-_SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*\Z")
+_SCHEME = re.compile(r"[A-Za-z]")
+_SCHEME_RUN = re.compile(r"[A-Za-z0-9+.-]*\Z")
 _VALUE = re.compile(r"[\s:#=.]*(?:is\s+|no\.?\s+|number\s+)?([A-Z0-9](?:[ -]?[A-Z0-9])*)")
 _DIGIT_RUN = re.compile(r"[0-9]+")
-# How far to the left the local part of an address is looked for at once.
+# How far to the left the local part of an address, or a scheme, is looked for at once.
 _LOOK = 64
 
 
@@ -69,12 +71,12 @@ def iban(value: str) -> bool:
     return int("".join(str(int(c, 36)) for c in value[4:] + value[:4])) % 97 == 1
 
 
-def _local_start(text: str, at: int, floor: int) -> int:
-    """Where the run of address characters that ends at ``at`` begins, not before ``floor``."""
+def _run_start(text: str, at: int, floor: int, run: re.Pattern) -> int:
+    """Where the ``run`` of characters that ends at ``at`` begins, not before ``floor``."""
     look = _LOOK
     while True:
         low = max(floor, at - look)
-        start = low + _LOCAL.search(text[low:at]).start()
+        start = low + run.search(text[low:at]).start()
         if start > low or low == floor:
             return start
         look *= 4
@@ -90,7 +92,7 @@ def _emails(text: str, signs: list[int]) -> Iterator[spans.Span]:
     for at in signs:
         if at < end:
             continue
-        start = _local_start(text, at, end)
+        start = _run_start(text, at, end, _LOCAL)
         domain = _DOMAIN.match(text, at + 1) if start < at else None
         if domain:
             end = domain.end()
@@ -149,11 +151,10 @@ def _phones(text: str, plus: list[int]) -> Iterator[spans.Span]:
 def _logins(text: str, schemes: list[int]) -> Iterator[spans.Span]:
     """Addresses with a user and password: scheme://user:password@host."""
     for at in schemes:
-        look = text[max(0, at - _LOOK) : at]
-        scheme = _SCHEME.search(look)
         login = _LOGIN.match(text, at + 3)
-        if scheme and login:
-            yield "login", at - len(look) + scheme.start(), login.end()
+        scheme = _SCHEME.search(text, _run_start(text, at, 0, _SCHEME_RUN), at) if login else None
+        if scheme:
+            yield "login", scheme.start(), login.end()
 
 
 def _accounts(text: str, cues: list[tuple[int, int]]) -> Iterator[spans.Span]:
@@ -192,9 +193,10 @@ def find(text: str) -> list[spans.Span]:
     runs = _digit_runs(text, digits)
     found = [*_emails(text, signs), *_ips(text, runs), *_cards(text, runs), *_phones(text, plus), *_logins(text, schemes)]
     taken = sorted((a, b) for _, a, b in found)
+    reach = list(accumulate((b for _, b in taken), max))  # the furthest end of the spans so far
     for kind, a, b in _accounts(text, sorted(cues)):
         i = bisect_left(taken, (b, 0))
-        if not any(x < b and a < y for x, y in taken[max(0, i - 3) : i]):
+        if not i or reach[i - 1] <= a:
             found.append((kind, a, b))
     return found
 
@@ -203,7 +205,8 @@ def scan(docs: DataFrame) -> DataFrame:
     """One row per document: ``doc_id``, a count per base kind, ``base_sha256`` and ``spans``.
 
     Offsets count code points, ends are exclusive. Null and empty texts have no findings;
-    repeated rows are scanned alike; an empty table gives no rows; extra columns are ignored.
+    repeated rows are scanned alike; very long texts are scanned whole; an empty table gives no
+    rows; extra columns are ignored.
     """
     rows = docs.select("doc_id", "text")
     id_type = rows.schema["doc_id"].dataType.simpleString()

@@ -51,6 +51,19 @@ def test_personal_beyond_the_base():
     assert personal.find("IBAN: GB83 WEST 1234 5698 7654 32. The account number of items grew.") == []
 
 
+def test_schemes_and_overlaps_of_any_length():
+    for n in (1, 63, 64, 65, 100, 5000):
+        text = "1" + "a" * n + "://user:pw@host.org"
+        assert ("login", 1, len(text)) in personal.find(text)
+    assert not [s for s in personal.find("1+://user:pw@host.org") if s[0] == "login"]
+    # The value lies in a login that begins before five other findings.
+    text = "ftp://u:iban=a@b.c,1.2.3.4,1.2.3.5,1.2.3.6,acct:123456@host.org"
+    found = personal.find(text)
+    assert [s for s in found if s[0] == "login"] and not [
+        s for s in found if s[0] == "account" and any(o[0] != "account" and o[1] < s[2] and s[1] < o[2] for o in found)
+    ]
+
+
 def test_long_hostile_texts_stay_linear():
     assert personal.find("a" * 300_000 + "@" + "b" * 300_000) == []
     assert len(personal.find("a@b" * 50_000 + ".c")) == 1
