@@ -66,12 +66,35 @@ def union_traces(assigned: DataFrame, cells: DataFrame, gates: DataFrame, clock:
     """Assigned traces ``(channel, label, datetime_utc, y)`` and those of the bins that enter, in one table."""
     entering = cells.join(gates.where("enters").select("bin", "bin_mz"), "bin").join(clock, "sample_item_id")
     unknown = entering.select(
-        F.concat(F.lit("?"), F.format_number("bin_mz", "0.0000")).alias("channel"),
+        F.concat(F.lit("?"), F.format_string("%.4f", "bin_mz")).alias("channel"),
         F.lit(None).cast("string").alias("label"), "datetime_utc", F.col("height").alias("y"),
     )
     return assigned.select("channel", "label", "datetime_utc", "y").unionByName(unknown)
 
 
+def assigned_traces(cells: DataFrame, bins: DataFrame, ledger: DataFrame, clock: DataFrame) -> DataFrame:
+    """``channel, label, datetime_utc, y`` of each assigned ion ``(neutral_formula, adduct, mz)``, from its nearest bin.
+
+    A channel is a bin, named by its position; of ions that share a bin the nearest one (ties: the
+    smallest name) labels it, so that no bin enters twice.
+    """
+    ions = ledger.select(F.concat_ws(" ", "neutral_formula", "adduct").alias("label"), "mz").distinct()
+    hit = axis.nearest(ions, bins, "mz", "bin_mz", ["bin"], tol_ppm=MATCH_PPM).select("label", "mz", F.col("hit.bin").alias("bin"))
+    placed = hit.where("bin IS NOT NULL").join(bins.select("bin", "bin_mz"), "bin")
+    gap = F.abs(F.col("mz") - F.col("bin_mz"))
+    named = placed.groupBy("bin", "bin_mz").agg(F.min(F.struct(gap.alias("gap"), "label")).alias("first"))
+    return cells.join(named, "bin").join(clock, "sample_item_id").select(
+        F.format_string("%.4f", "bin_mz").alias("channel"), F.col("first.label").alias("label"), "datetime_utc", F.col("height").alias("y")
+    )
+
+
+def union_grid(traces: DataFrame) -> DataFrame:
+    """``channel, t, hours, y``: traces of ``union_traces`` on their common time axis; the brightest of equal times counts."""
+    best = traces.groupBy("channel", "datetime_utc").agg(F.max("y").alias("y"))
+    timed = best.withColumn("hour", F.unix_micros(F.col("datetime_utc").cast("timestamp")) / F.lit(3.6e9))
+    return tr.complete_grid(cut_lineage(tr.with_axis(timed, "hour", 1.0)))
+
+
 def batch_families(traces: DataFrame, labels: DataFrame, cut: float = fam.DIST_T, merge_r: float = fam.MERGE_R) -> DataFrame:
     """One row per channel: ``channel, cluster, set, cluster_label``.
 
@@ -91,7 +114,8 @@ def batch_families(traces: DataFrame, labels: DataFrame, cut: float = fam.DIST_T
     else:
         rows = cut_lineage(tr.log_traces(traces))
         carried = traces.select("channel").distinct().withColumn("r2", F.lit(0.0))
-    pairs = tr.pairwise_r(rows, "g")
+    # Pairs beyond the cut never merge; a missing r has distance 1. The margin leaves rounding to the linkage.
+    pairs = tr.pairwise_r(rows, "g", least_r=1.0 - cut - 1e-9 if cut < 1 else None)
     found = fam.complete_linkage(traces.select("channel").distinct(), pairs, cut)
     found = cut_lineage(fam.big_families(fam.merge_similar(rows, "g", found, merge_r)))
     moving = fam.split_flat(traces, found).select("cluster", "dynamic")

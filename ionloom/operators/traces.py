@@ -215,11 +215,11 @@ def decompose(traces: DataFrame, reference: DataFrame | None = None) -> tuple[Da
 
 def pairwise_r(
     rows: DataFrame, value: str, min_points: int = MIN_POINTS, key: str = "channel",
-    block_channels: int = 256, block_points: int = 4096,
+    block_channels: int = 256, block_points: int = 4096, least_r: float | None = None,
 ) -> DataFrame:
     """Pearson r of every channel pair over shared time points: ``(a, b, r, n)``, a < b.
 
-    The pairs are the result, so gate the channels first. Channels are dealt into
+    The pairs are the result, so gate the channels first, or ask only for those of at least ``least_r``. Channels are dealt into
     blocks and every pair of blocks is one small matrix product per stretch of
     the time axis; rows are copied once per block, not once per partner, and the
     partial sums add up map-side.
@@ -281,7 +281,8 @@ def pairwise_r(
     vy = F.col("syy") - F.col("sy") * F.col("sy") / n
     flat = 1e-12
     r = F.when((vx > flat * F.col("sxx")) & (vy > flat * F.col("syy")), cov / F.sqrt(vx * vy))
-    return sums.where(n >= min_points).select("a", "b", r.alias("r"), n.cast("long").alias("n"))
+    pairs = sums.where(n >= min_points).select("a", "b", r.alias("r"), n.cast("long").alias("n"))
+    return pairs if least_r is None else pairs.where(F.col("r") >= least_r)
 
 
 def reference_r(rows: DataFrame, value: str, members: DataFrame) -> DataFrame:

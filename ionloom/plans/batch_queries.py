@@ -13,7 +13,7 @@ from ionloom.plans import adapters as ad
 from ionloom.plans.adapters import CELLS, LEDGER, PEAKS
 from ionloom.plans.registry import query
 from ionloom.plans.trace_queries import FAMILIES, GRID, grid, grid_sql, labels, smooth_sql
-from ionloom.session import shared_folder
+from ionloom.session import cut_lineage, shared_folder
 from ionloom.sources import tables
 
 STEPS = "(0, 1.003355::DOUBLE), (1, 0.997035::DOUBLE), (2, 1.995796::DOUBLE), (3, 1.997050::DOUBLE), (4, 1.997953::DOUBLE), (5, 2.004246::DOUBLE)"
@@ -58,6 +58,24 @@ def t21(spark, sf):
     return batch.batch_families(g, names)
 
 
+def union(spark, sf):
+    """Traces of assigned ions and of the bins that enter, as ``union_traces`` and as a grid."""
+    peaks, ledger = ad.peaks(spark, sf), ad.ledger_ions(spark, sf)
+    binned = matrix.binned_peaks(peaks)
+    cells, bins = cut_lineage(matrix.matrix_cells(binned)), cut_lineage(matrix.bin_table(binned))
+    clock = peaks.groupBy("sample_item_id").agg(F.min("datetime_utc").alias("datetime_utc"))
+    gates = batch.bin_gates(cells, bins, ledger.select("mz"))
+    traces = cut_lineage(batch.union_traces(batch.assigned_traces(cells, bins, ledger, clock), cells, gates, clock))
+    return traces, cut_lineage(batch.union_grid(traces))
+
+
+@query("T21_union_families")
+def t21u(spark, sf):
+    traces, g = union(spark, sf)
+    names = traces.groupBy("channel").agg(F.min("label").alias("label"))
+    return batch.batch_families(g, names)
+
+
 @query("T28_changing_series", f"""WITH {GRID}, d AS (SELECT channel, median(y) AS med, stddev_pop(y) / avg(y) AS cv FROM grid GROUP BY 1),
 top AS (SELECT channel, row_number() OVER (ORDER BY med DESC, channel) AS place FROM d WHERE cv >= 0.3 QUALIFY place <= 28)
 SELECT place, channel, round_even(hours, 1) AS hours, CASE WHEN y > 0 THEN round_even(y, 0) END AS y FROM grid JOIN top USING (channel)""")
