@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("matrix_queries", "merge_queries", "trace_queries", "report_queries", "chem_queries", "pass_queries", "batch_queries")
+MODULES = ("matrix_queries", "merge_queries", "trace_queries", "report_queries", "chem_queries", "pass_queries", "reread_queries", "batch_queries")
 
 
 def load_catalog():
