@@ -28,8 +28,12 @@ def sha256(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
+# Micro-batches of a run: every one but the first meets the state that the earlier ones left.
+BATCHES = 4
+
+
 def remember(records: DataFrame, files_per_batch: int | None = None) -> DataFrame:
-    """Streams ``(digest, doc_id, file, row)`` through the keyed state.
+    """Streams ``(digest, doc_id, file, row)`` through the keyed state, by default in ``BATCHES`` parts.
 
     Returns ``(digest, group_size, holder)`` with the holder of the largest doc_id. Both only
     grow, so the largest values seen are the final ones and a repeated micro-batch is harmless.
@@ -37,9 +41,9 @@ def remember(records: DataFrame, files_per_batch: int | None = None) -> DataFram
     spark = records.sparkSession
     folder = f"{shared_folder(spark)}/dedup-{uuid.uuid4().hex}"
     records.write.parquet(f"{folder}/records")
-    stream = spark.readStream.schema(records.schema)
-    if files_per_batch:
-        stream = stream.option("maxFilesPerTrigger", files_per_batch)
+    if files_per_batch is None:
+        files_per_batch = max(1, -(-len(spark.read.schema(records.schema).parquet(f"{folder}/records").inputFiles()) // BATCHES))
+    stream = spark.readStream.schema(records.schema).option("maxFilesPerTrigger", files_per_batch)
     state = (
         stream.parquet(f"{folder}/records")
         .groupBy("digest")

@@ -1,3 +1,4 @@
+import re
 from collections import defaultdict
 
 from pyspark.sql import functions as F
@@ -42,6 +43,17 @@ def test_many_micro_batches_share_the_state(spark):
     assert sorted(map(str, few)) == sorted(map(str, one))
 
 
+def test_by_default_the_state_is_met_again(spark):
+    digests = spark.range(0, 400, 1, 8).select(
+        F.unhex(F.sha2((F.col("id") % 50).cast("string"), 256)).alias("digest"), F.col("id").alias("doc_id"), F.lit("f").alias("file"), F.col("id").alias("row")
+    )
+    got = exact_stream.remember(digests)
+    assert {(r["group_size"], r["holder"]["doc_id"] % 50) for r in got.collect()} == {(8, k) for k in range(50)}
+    assert got.count() == 50
+    parts = {re.search("batch=([0-9]+)", f)[1] for f in got.inputFiles()}
+    assert len(parts) == exact_stream.BATCHES
+
+
 def test_keep_one_returns_whole_rows(spark):
     docs = odd(spark)
     kept = exact_stream.keep_one(docs)
