@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ionloom.functions import formula as fx
-from ionloom.operators import rereading
+from ionloom.operators import audit, rereading
 from ionloom.plans import adapters as ad
 from ionloom.plans.adapters import LROWS
 from ionloom.plans.chem_queries import CORE, lcal
@@ -88,3 +88,28 @@ SELECT sample_item_id, peak_id, tier AS before_tier, 'Candidate' AS after_tier,
 def c26(spark, sf):
     rows = dealt(spark, sf).withColumn("ppm_error", F.col("ppm_error") * 3)
     return rereading.demotions(rows, lcal(spark, sf))
+
+
+@query("C32_bromide_clusters", f"""WITH {LROWS},
+own AS (SELECT sample_item_id, peak_id, mz + 3 * (1.0078250319::DOUBLE + 78.9183371::DOUBLE) AS m, height FROM lrows WHERE role = 'M0' AND adduct = '[M+Br]-'),
+pk AS (SELECT sample_item_id, peak_id, role, mz, height FROM lrows
+  UNION ALL SELECT sample_item_id, peak_id || '-a', 'unexplained', m, height FROM own UNION ALL SELECT sample_item_id, peak_id || '-b', 'unexplained', m + 1.99795::DOUBLE, height * 0.97 FROM own),
+un AS (SELECT * FROM pk WHERE role = 'unexplained' AND height > 0 AND mz - round_even(mz, 0) < -0.16),
+h AS (SELECT u.sample_item_id, u.peak_id, up, u.height, p.peak_id AS other, p.height AS size,
+    row_number() OVER (PARTITION BY u.sample_item_id, u.peak_id, up ORDER BY abs(p.mz - (u.mz + d)), p.mz, p.height, p.peak_id) AS rn
+  FROM un u CROSS JOIN (VALUES (true, 1.99795::DOUBLE), (false, -1.99795::DOUBLE)) t(up, d) JOIN pk p ON p.sample_item_id = u.sample_item_id
+    AND p.mz BETWEEN u.mz + d - 0.007 AND u.mz + d + 0.007 WHERE abs(u.mz + d - p.mz) <= 0.006),
+w AS (SELECT sample_item_id, peak_id, max(other) FILTER (up AND size / height > 0.4 AND size / height < 3) AS above,
+    max(other) FILTER (NOT up AND height / size > 0.4 AND height / size < 3) AS below FROM h WHERE rn = 1 GROUP BY 1, 2)
+SELECT sample_item_id, peak_id, above, below FROM w WHERE above IS NOT NULL OR below IS NOT NULL""")
+def c32_clusters(spark, sf):
+    l = ad.ledger_rows(spark, sf).select(*PEAK, "role", "adduct", "mz", "height")
+    m = F.col("mz") + F.lit(3 * (fx.MASS["H"] + fx.MASS["Br"]))
+    own = l.where((F.col("role") == "M0") & (F.col("adduct") == "[M+Br]-"))
+    lines = (("-a", 0.0, 1.0), ("-b", 1.99795, 0.97))
+    line = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.lit(d).alias("d"), F.lit(r).alias("r")) for t, d, r in lines]))
+    extra = own.withColumn("q", line).select(
+        "sample_item_id", F.concat("peak_id", "q.t").alias("peak_id"), F.lit("unexplained").alias("role"), "adduct",
+        (m + F.col("q.d")).alias("mz"), (F.col("height") * F.col("q.r")).alias("height"),
+    )
+    return audit.bromide_clusters(cut_lineage(l.unionByName(extra))).select(*PEAK, "above", "below")

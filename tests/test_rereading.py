@@ -6,7 +6,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from ionloom.functions import formula as fx
-from ionloom.operators import rereading
+from ionloom.operators import audit, rereading
 
 SCHEMA = (
     "sample_item_id string, peak_id string, role string, neutral_formula string, adduct string, tier string, method string, "
@@ -137,3 +137,27 @@ def test_demotions_of_impossible_and_speculative_readings(spark):
     assert [after[i]["tier"] for i in (0, 3, 4, 11)] == ["Candidate", "Candidate", "Assigned", None]
     none = rereading.demotions(ledger, cal.where(F.lit(False)))
     assert {int(r["peak_id"]) for r in none.collect()} == set(want) - {3}
+
+
+def test_bromide_clusters_need_defect_and_twin(spark):
+    peaks = [
+        ("s", "a", "unexplained", 400.70, 100.0), ("s", "b", "unexplained", 402.69795, 97.0),  # a pair
+        ("s", "c", "unexplained", 500.70, 100.0), ("s", "d", "M0", 502.70, 10.0),  # a twin too small
+        ("s", "e", "unexplained", 600.10, 100.0), ("s", "f", "unexplained", 602.09795, 97.0),  # positive defect
+        ("s", "g", "M0", 700.70, 100.0), ("s", "h", "unexplained", 702.69795, 97.0),  # an owner below
+        ("s", "i", "unexplained", 800.70, 100.0), ("t", "j", "unexplained", 802.69795, 97.0),  # another sample
+        ("s", "k", "unexplained", 900.70, 100.0), ("s", "l", "artifact", 902.69795, None),
+        ("s", "m", "unexplained", None, 100.0),
+    ]
+    frame = spark.createDataFrame(peaks, "sample_item_id string, peak_id string, role string, mz double, height double")
+    covalent = spark.createDataFrame(
+        [("s", "a", "C2Br3-", 0.9), ("s", "a", "CBr3O-", 0.9), ("s", "b", "CBr3-", 0.69)],
+        "sample_item_id string, peak_id string, ion_formula string, ion_score double",
+    )
+    found = audit.bromide_clusters(frame, covalent)
+    assert {r["peak_id"]: (r["above"], r["below"], r["ion_formula"]) for r in found.collect()} == {
+        "a": ("b", None, "C2Br3-"), "b": (None, "a", None), "h": (None, "g", None)
+    }
+    after = audit.label_clusters(frame.withColumn("ion_formula", F.lit(None).cast("string")), found)
+    assert {r["peak_id"]: r["ion_formula"] for r in after.where("role = 'reagent'").collect()} == {"a": "C2Br3-", "b": None, "h": None}
+    assert after.count() == len(peaks) and audit.bromide_clusters(frame.limit(0)).count() == 0
