@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ionloom.session import stored
+
 # Width, in rank share, of the bracket put round a wanted quantile of a larger group.
 HALF_BRACKET = 0.002
 
@@ -52,10 +54,12 @@ def exact_quantiles(
 ) -> DataFrame:
     """Linear-interpolated quantiles per group: ``(*keys, *wanted)``. NaN counts as missing.
 
-    One lazy plan at every size. Values are counted, which spreads a hot group
-    over its values; a sketch brackets the quantile, exact counts say which
-    side of the bracket the wanted ranks fall on, and only the values of that
-    side are ordered. The result is exact whatever the sketch says.
+    Values are counted, which spreads a hot group over its values; a sketch
+    brackets the quantile, exact counts say which side of the bracket the wanted
+    ranks fall on, and only the values of that side are ordered. The result is
+    exact whatever the sketch says. The counts are written first: a value that is
+    a sum differs in its last bits each time it is computed, and would else fall
+    on one side of its bracket in one step and on the other in the next.
     """
     val = F.col(value) if isinstance(value, str) else value
     names, shares = list(wanted), [float(p) for p in wanted.values()]
@@ -65,7 +69,7 @@ def exact_quantiles(
         F.nanvl(val.cast("double"), F.lit(None).cast("double")).alias("v"),
     ).where(F.col("v").isNotNull())
     by = list(keys) or ["_all"]
-    counts = rows.groupBy(*by, "v").agg(F.count(F.lit(1)).alias("n"))
+    counts, _ = stored(rows.groupBy(*by, "v").agg(F.count(F.lit(1)).alias("n")), "quantile-counts")
     quoted = [f"`{k}`" for k in by]
 
     def same(a: str, b: str) -> str:
