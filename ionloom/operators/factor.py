@@ -435,9 +435,16 @@ def _finished(packed: Packed, models: list[Model]) -> list[Factors]:
     return out
 
 
-def wnmf(given: Sparse | Packed, k: int, n_iter: int = 500, seed: int = 0, tol: float = 1e-6) -> tuple[DataFrame, DataFrame, list[float]]:
-    """Factors ``g (sample_item_id, f, v)`` and ``h (bin, f, v)`` and the history of Q."""
-    one = factorise(given, [k], n_iter, seed, tol)[0]
+def wnmf(
+    given: Sparse | Packed | DataFrame, k: int, n_iter: int = 500, seed: int = 0, tol: float = 1e-6, check_every: int = 20
+) -> tuple[DataFrame, DataFrame, list[float]]:
+    """Factors ``g (sample_item_id, f, v)`` and ``h (bin, f, v)`` and the history of Q.
+
+    Of a plain table of cells ``(sample_item_id, bin, x, sigma)`` the absent ones have no weight.
+    """
+    if isinstance(given, DataFrame):
+        given = Sparse(given, given.select("sample_item_id").distinct(), given.select("bin").distinct(), float("inf"))
+    one = factorise(given, [k], n_iter, seed, tol, check_every)[0]
     return one.g, one.h, one.history
 
 
