@@ -7,11 +7,13 @@ with probability 0.61, unrelated ones with 0.007; a key joins the codewords of t
 six such pairs of segments one agrees with probability 0.94 at similarity 0.8, 0.99 at 0.87.
 Candidates are verified on all 320 bits, which tell the similarity to about 0.03.
 
-Members of a large group share many keys, so groups are gathered first: in some of the tables a
-document meets the first one of each of its buckets, which the members of a group mostly have in
-common. After that only documents of different groups are candidates, of two groups that meet in
-a bucket the closest few. So the candidates of a large group grow with its size, and no more links
-between different texts are left out than those within a group that is linked already.
+All pairs of different texts that share a key are compared on all 320 bits, in numpy inside the
+task that holds their bucket, and a task returns no pairs but which groups they join: at most one
+row per document and bucket. In a bucket a row is compared with rows of other groups only, and once
+it is compared with all of them it is done, so a group of any size costs a few passes over it, and
+only texts that share a key and don't resemble cost a comparison per pair. Buckets are dealt by the
+codeword of the first segment of a key. Of more than MOST_ROWS rows they are cut into parts, and
+rows outside the group that most of a bucket belongs to meet the other parts too.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ionloom.llm.common import in_files, minus, with_locator, written
@@ -31,14 +33,13 @@ from ionloom.llm.golay import codewords, decoding
 WORDS, SEED = 5, 42
 #: 64-bit lanes of a fingerprint, pairs of segments that make keys, bits of a segment.
 LANES, TABLES, SEGMENT = 5, 6, 23
-#: Bits that may differ in the first lane of a candidate, and in all lanes of a link.
-FIRST_BITS, MOST_BITS = 22, 56
-#: In buckets up to this size all pairs are candidates. In larger ones each member meets the first
-#: and its next NEXT members in the order of the first lane.
-PAIRED, NEXT = 32, 4
-#: Pairs that two groups have in a bucket, and tables in which groups are gathered.
-CLOSEST, GATHERING = 2, 2
-_BLOCK, _CARRIED = 1 << 13, 4096
+#: Bits that may differ in a link.
+MOST_BITS = 56
+#: Rows that share a key are compared in steps over all keys at once up to this number, else key by key.
+PAIRED = 64
+#: Rows of a part of a bucket, about, and comparisons made at once.
+MOST_ROWS, _AT_ONCE = 1 << 16, 1 << 20
+_BLOCK = 1 << 13
 _LANE = [f"lane{i}" for i in range(LANES)]
 
 
@@ -76,117 +77,186 @@ def signatures(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(batches, f"uid long, doc_id {id_type}, _ion_file string, _ion_row long, " + ", ".join(f"{n} long" for n in _LANE))
 
 
-def fuzzy_keys(lanes: np.ndarray, n_tables: int = TABLES) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of fingerprints (row x lane) and the rows they belong to: 1 to 36 per table."""
-    bits = np.unpackbits(np.ascontiguousarray(lanes).view(np.uint8), axis=1, bitorder="little")
-    powers, tables = 1 << np.arange(SEGMENT), decoding()
-    keys, rows = [], []
-
-    def near(number: int) -> tuple[np.ndarray, np.ndarray]:
-        words = codewords(bits[:, number * SEGMENT : (number + 1) * SEGMENT] @ powers, tables)
-        used = np.ones(words.shape, bool)
-        used[:, 1:] = words[:, 1:] != words[:, :1]
-        return words, used
+def _near(lanes: np.ndarray, number: int, tables: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Codewords near a segment of fingerprints (row x lane), six per row, and which are no repeats."""
+    lane, shift = divmod(number * SEGMENT, 64)
+    bits = lanes[:, lane].view(np.uint64) >> np.uint64(shift)
+    if shift + SEGMENT > 64:
+        bits = bits | lanes[:, lane + 1].view(np.uint64) << np.uint64(64 - shift)
+    words = codewords((bits & np.uint64((1 << SEGMENT) - 1)).astype(np.int64), tables)
+    used = np.ones(words.shape, bool)
+    used[:, 1:] = words[:, 1:] != words[:, :1]
+    return words, used
+
+
+def _joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels after nodes ``a`` and ``b`` are linked: the least node of each group."""
+    while len(a):
+        low, high = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
+        apart = low != high
+        a, b, parent = a[apart], b[apart], np.arange(len(label))
+        np.minimum.at(parent, high[apart], low[apart])
+        while (further := parent[parent]).tobytes() != parent.tobytes():
+            parent = further
+        label = parent[label]
+    return label
+
+
+def _close(columns: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of the pairs of rows differ in MOST_BITS or fewer; a lane is read while that is open."""
+    left, bits = np.arange(len(a)), np.zeros(len(a), np.int64)
+    for lane in columns:
+        bits = bits + np.bitwise_count(lane[a[left]] ^ lane[b[left]])
+        few = bits <= MOST_BITS
+        left, bits = left[few], bits[few]
+    return left
+
+
+def bucket_links(bucket: np.ndarray, part: np.ndarray, root: np.ndarray, lanes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``u, v``: groups (their roots) that are joined by rows with a common key at most MOST_BITS apart.
+
+    The rows are those of whole parts of buckets, sorted by both. ``u`` is the least root joined.
+    """
+    nodes, node = np.unique(root, return_inverse=True)
+    label = np.arange(len(nodes))
+    place = np.cumsum(np.r_[False, (bucket[1:] != bucket[:-1]) | (part[1:] != part[:-1])])
+    table_of, tables, keys, rows = bucket >> 12, decoding(), [], []
+    for table in range(TABLES):
+        here = np.flatnonzero(table_of == table)
+        words, used = _near(lanes[here], 2 * table + 1, tables)
+        at, which = np.nonzero(used)
+        keys.append(place[here[at]] << 12 | words[at, which])
+        rows.append(here[at])
+    key, row = np.concatenate(keys), np.concatenate(rows)
+    order = np.argsort(key, kind="stable")
+    key, row = key[order], row[order]
+    start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    size = np.diff(np.r_[start, len(key)])
+    columns = [np.ascontiguousarray(lane).view(np.uint64) for lane in lanes.T]
+
+    end, few = np.repeat(start + size, size), np.repeat((size > 1) & (size <= PAIRED), size)
+    at = np.flatnonzero(few)
+    for step in range(1, PAIRED):
+        at = at[at + step < end[at]]
+        for begin in range(0, len(at), _AT_ONCE):
+            now = at[begin : begin + _AT_ONCE]
+            a, b = row[now], row[now + step]
+            other = label[node[a]] != label[node[b]]
+            a, b = a[other], b[other]
+            hit = _close(columns, a, b)
+            label = _joined(label, node[a[hit]], node[b[hit]])
+
+    for run in np.flatnonzero(size > PAIRED):
+        members = row[start[run] : start[run] + size[run]]
+        open_, pivots = np.ones(len(members), bool), np.zeros(1, np.int64)
+        while len(pivots) and (label[node[members]] != label[node[members[0]]]).any():
+            open_[pivots] = False
+            mine = label[node[members]]
+            a, b = np.nonzero(mine[pivots][:, None] != mine[None, :])
+            a, b = members[pivots[a]], members[b]
+            hit = _close(columns, a, b)
+            label = _joined(label, node[a[hit]], node[b[hit]])
+            mine = label[node[members]]
+            values, count = np.unique(mine, return_counts=True)
+            pivots = np.flatnonzero(open_ & (mine != values[count.argmax()]))[: max(1, min(PAIRED, _AT_ONCE // len(members)))]
+
+    moved = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[label[moved]], nodes[moved]
+
+
+def keyed(marks: DataFrame) -> DataFrame:
+    """``bucket, uid, lanes`` of ``marks (uid, lanes)``: the table and a codeword near its first segment, 6 to 36 per row."""
 
-    for table in range(n_tables):
-        (a, a_used), (b, b_used) = near(2 * table), near(2 * table + 1)
-        key = table << 24 | a[:, :, None] << 12 | b[:, None, :]
-        used = a_used[:, :, None] & b_used[:, None, :]
-        keys.append(key[used])
-        rows.append(np.nonzero(used)[0])
-    return np.concatenate(keys), np.concatenate(rows)
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = decoding()
+        for batch in it:
+            for first in range(0, len(batch), _BLOCK):
+                part = batch.slice(first, _BLOCK)
+                lanes = np.column_stack([c.to_numpy(zero_copy_only=False) for c in part.columns[1:]])
+                for table in range(TABLES):
+                    words, used = _near(lanes, 2 * table, tables)
+                    at, which = np.nonzero(used)
+                    bucket = pa.array((table << 12 | words[at, which]).astype(np.int32))
+                    yield pa.RecordBatch.from_arrays([bucket, *part.take(pa.array(at)).columns], names=["bucket", "uid", *_LANE])
 
+    return marks.select("uid", *_LANE).mapInArrow(batches, "bucket int, uid long, " + ", ".join(f"{n} long" for n in _LANE))
 
-def _apart(lane: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count((lane[a] ^ lane[b]).view(np.uint64))
 
+def links(rows: DataFrame) -> DataFrame:
+    """``u, v``: groups joined within a part of a bucket, of ``rows (bucket, part, root, lanes)``."""
 
-def bucket_pairs(key: np.ndarray, root: np.ndarray, uid: np.ndarray, lane: np.ndarray, gather: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs of rows sorted by key and lane: of different roots, lanes that differ in few bits.
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def joined(columns: list[np.ndarray]) -> pa.RecordBatch:
+            u, v = bucket_links(*columns[:3], np.column_stack(columns[3:]))
+            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
-    To ``gather``, rows are sorted by key and uid, and each meets the first one of its bucket.
-    """
-    paired, following = (0, 0) if gather else (PAIRED, NEXT)
-    start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    size = np.diff(np.r_[start, len(key)])
-    first, of = np.repeat(start, size), np.repeat(size, size)
-    left, right = [], []
-
-    def met(a: np.ndarray, b: np.ndarray) -> None:
-        few = (root[a] != root[b]) & (_apart(lane, a, b) <= FIRST_BITS)
-        left.append(a[few])
-        right.append(b[few])
-
-    for step in range(1, min(max(paired, following + 1), int(size.max(initial=1)))):
-        at = np.flatnonzero((key[step:] == key[:-step]) & ((of[step:] <= paired) | (step <= following)))
-        met(at, at + step)
-    star = np.flatnonzero((of > paired) & (first != np.arange(len(key))))
-    met(first[star], star)
-    a, b = np.concatenate(left), np.concatenate(right)
-    if not gather and len(a):
-        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
-        order = np.lexsort((_apart(lane, a, b), high, low, key[a]))
-        a, b, low, high = a[order], b[order], low[order], high[order]
-        again = np.zeros(len(a), bool)  # CLOSEST pairs of the same groups in the same bucket come before
-        again[CLOSEST:] = (key[a[CLOSEST:]] == key[a[:-CLOSEST]]) & (low[CLOSEST:] == low[:-CLOSEST]) & (high[CLOSEST:] == high[:-CLOSEST])
-        a, b = a[~again], b[~again]
-    return np.minimum(uid[a], uid[b]), np.maximum(uid[a], uid[b])
-
-
-def candidates(marks: DataFrame, gather: bool = False) -> DataFrame:
-    """``u, v``: distinct candidate pairs of ``marks (uid, root, lanes)``, from buckets of equal keys."""
-
-    def keyed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        n = 0
         for batch in it:
-            for start in range(0, len(batch), _BLOCK):
-                part = batch.slice(start, _BLOCK)
-                lanes = np.column_stack([c.to_numpy(zero_copy_only=False) for c in part.columns[2:]])
-                keys, rows = fuzzy_keys(lanes, GATHERING if gather else TABLES)
-                at = pa.array(rows)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys.astype(np.int32)), part.column(1).take(at), part.column(0).take(at), part.column(2).take(at)],
-                    names=["key", "root", "uid", "lane"],
-                )
-
-    def paired(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A bucket may go on in the next batch, so its rows so far (of a large one the first and last) are carried."""
-        held = [np.zeros(0, np.int64)] * 4
-        for batch in it:
-            now = [np.r_[h, c.to_numpy(zero_copy_only=False).astype(np.int64)] for h, c in zip(held, batch.columns, strict=True)]
-            u, v = bucket_pairs(*now, gather)
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
-            begin = int(np.searchsorted(now[0], now[0][-1]))
-            keep = np.arange(begin, len(now[0]))
-            if len(keep) > _CARRIED:
-                keep = np.r_[keep[:1], keep[-_CARRIED:]]
-            held = [c[keep] for c in now]
+            if not len(batch):
+                continue
+            held.append([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])
+            n += len(batch)
+            if n >= MOST_ROWS:  # the last part of a bucket may go on in the next batch
+                now = [np.concatenate(c) for c in zip(*held, strict=True)]
+                goes_on = np.flatnonzero((now[0] != now[0][-1]) | (now[1] != now[1][-1]))
+                last = int(goes_on[-1]) + 1 if len(goes_on) else 0
+                if last:
+                    yield joined([c[:last] for c in now])
+                held, n = [[c[last:] for c in now]], len(now[0]) - last
+        if n:
+            yield joined([np.concatenate(c) for c in zip(*held, strict=True)])
+
+    ordered = rows.select("bucket", "part", "root", *_LANE).repartition("bucket", "part").sortWithinPartitions("bucket", "part")
+    return ordered.mapInArrow(batches, "u long, v long").distinct()
 
-    keys = marks.select("uid", "root", *_LANE).mapInArrow(keyed, "key int, root long, uid long, lane long")
-    ordered = keys.repartition("key").sortWithinPartitions("key", *(["uid"] if gather else ["lane", "uid"]))
-    return ordered.mapInArrow(paired, "u long, v long").distinct()
 
+def _parts(n: str, most_rows: int) -> Column:
+    return F.ceil(F.col(n) / F.lit(most_rows)).cast("int")
 
-def links(marks: DataFrame, gather: bool = False) -> DataFrame:
-    """``u, v``: candidate pairs at most MOST_BITS apart."""
 
-    def side(name: str) -> DataFrame:
-        return marks.select(F.col("uid").alias(name), F.array(*_LANE).alias(f"{name}_lanes"))
+def _dealt(parts: str) -> Column:
+    return F.pmod(F.xxhash64("uid"), F.col(parts)).cast("int")
 
-    both = candidates(marks, gather).join(side("u"), "u").join(side("v"), "v")
-    differ = F.aggregate(F.zip_with("u_lanes", "v_lanes", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, x: s + x)
-    return both.where(differ <= MOST_BITS).select("u", "v")
 
+def between_parts(rows: DataFrame, rooted: DataFrame, most_rows: int) -> DataFrame:
+    """``u, v`` joined by rows of different parts of the cut buckets ``rows (bucket, parts, uid, lanes)``.
 
-def roots(marks: DataFrame) -> DataFrame:
-    """``marks (uid, ...)`` with ``root``, the smallest uid of the group: large groups first, then links between groups."""
+    Of two rows of different groups one is outside the group most of the bucket belongs to. These
+    rest rows are cut into parts as well, and each part of them meets each part of the bucket.
+    """
+    rows = written(rows.join(rooted.select("uid", "root"), "uid"), "resembling-cut")
+    members = rows.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
+    main = members.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"), (F.sum("n") - F.max("n")).alias("rest"))
+    met = rows.join(F.broadcast(main.where("rest > 0")), "bucket").withColumn("rests", _parts("rest", most_rows))
+    both = [
+        met.select("*", _dealt("parts").alias("one"), F.explode(F.sequence(F.lit(0), F.col("rests") - 1)).alias("two")),
+        met.where("root <> main").select(
+            "*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("one"), _dealt("rests").alias("two")
+        ),
+    ]
+    return links(both[0].unionByName(both[1]).withColumn("part", F.col("one") * F.col("rests") + F.col("two")))
+
+
+def roots(marks: DataFrame, most_rows: int = MOST_ROWS) -> DataFrame:
+    """``marks (uid, ...)`` with ``root``, the smallest uid of the group."""
 
     def rooted(edges: DataFrame) -> DataFrame:
         found = components(edges).select(F.col("u").alias("uid"), "root")
         return marks.join(found, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
 
-    gathered = written(rooted(links(marks.withColumn("root", F.col("uid")), gather=True)), "resembling-gathered")
-    inside = gathered.where("uid <> root").select(F.col("root").alias("u"), F.col("uid").alias("v"))
-    return rooted(links(gathered).unionByName(inside))
+    one = written(marks.groupBy(*_LANE).agg(F.min("uid").alias("uid")), "resembling-distinct")
+    same = marks.join(one.withColumnRenamed("uid", "u"), _LANE).where("uid <> u").select("u", F.col("uid").alias("v"))
+    rows = keyed(one)
+    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most_rows)
+    large = written(sizes.select("bucket", _parts("n", most_rows).alias("parts")), "resembling-large")
+    cut = rows.join(F.broadcast(large), "bucket", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    edges = written(links(cut.withColumn("part", _dealt("parts")).withColumnRenamed("uid", "root")).unionByName(same), "resembling-links")
+    if large.isEmpty():
+        return rooted(edges)
+    inner = written(rooted(edges), "resembling-gathered")
+    inside = inner.where("uid <> root").select(F.col("root").alias("u"), F.col("uid").alias("v"))
+    return rooted(between_parts(cut.where("parts > 1"), inner, most_rows).unionByName(inside))
 
 
 def grouped(docs: DataFrame) -> DataFrame:

@@ -87,3 +87,56 @@ def test_awkward_rows(spark):
 def test_empty_table(spark):
     assert resembling.grouped(none(spark)).count() == 0
     assert resembling.keep_one(none(spark)).count() == 0
+
+
+def _alike_in_one_segment_pair(seed=8, n=700):
+    """Fingerprints that share the segments of the first table and hardly any other, some of them in close pairs and chains."""
+    rng = np.random.default_rng(seed)
+    bits = rng.integers(0, 2, (n, 320), dtype=np.uint8)
+    bits[:, :46] = bits[0, :46]
+    for a, b in [(i, n - 1 - i) for i in range(0, 200, 2)] + [(i, i + 2) for i in range(200, 260, 2)]:
+        # 48 bits differ, 18 of them in the first lane and some in every segment of the other tables
+        at = np.r_[46 + rng.permutation(18), 64 + np.arange(30) * 8 + rng.integers(0, 8, 30)]
+        bits[b] = bits[a]
+        bits[b, at] ^= 1
+    return np.packbits(bits, axis=1, bitorder="little").view(np.int64)
+
+
+def _components(lanes):
+    group = list(range(len(lanes)))
+
+    def top(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for a in range(len(lanes)):
+        bits = np.bitwise_count((lanes[a] ^ lanes[a + 1 :]).view(np.uint64)).sum(axis=1)
+        for b in np.flatnonzero(bits <= resembling.MOST_BITS) + a + 1:
+            low, high = sorted((top(a), top(int(b))))
+            group[high] = low
+    return [top(i) for i in range(len(lanes))]
+
+
+def test_no_pair_of_a_large_bucket_is_left_out(spark):
+    lanes = _alike_in_one_segment_pair()
+    rows = [(i, i, "f", i, *map(int, x)) for i, x in enumerate(lanes)]
+    schema = "uid long, doc_id long, _ion_file string, _ion_row long, " + ", ".join(f"lane{i} long" for i in range(5))
+    marks = spark.createDataFrame(rows, schema)
+    want = _components(lanes)
+    assert len(set(want)) < 600
+    assert {r["uid"]: r["root"] for r in resembling.roots(marks).collect()} == dict(enumerate(want))
+
+
+def test_cut_buckets_lose_no_link(spark):
+    lanes = np.concatenate([_alike_in_one_segment_pair(9, 300), _alike_in_one_segment_pair(10, 300)])
+    one = np.unpackbits(lanes[-1:].view(np.uint8), axis=1, bitorder="little")
+    rng = np.random.default_rng(1)
+    for _ in range(200):  # a large group
+        bits = one.copy()
+        bits[0, rng.integers(46, 320, 20)] ^= 1
+        lanes = np.concatenate([lanes, np.packbits(bits, axis=1, bitorder="little").view(np.int64)])
+    marks = spark.createDataFrame([(i, *map(int, x)) for i, x in enumerate(lanes)], "uid long, " + ", ".join(f"lane{i} long" for i in range(5)))
+    want = dict(enumerate(_components(lanes)))
+    for most_rows in (1 << 16, 90, 23):
+        assert {r["uid"]: r["root"] for r in resembling.roots(marks, most_rows).collect()} == want
