@@ -7,6 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ionloom.session import cut_lineage
+
 # Monoisotopic masses and the electron mass (Da).
 MASS = {
     "C": 12.0,
@@ -102,11 +104,13 @@ def count_of(formula: Column, element: str) -> Column:
     """Atoms of one element; repeated tokens add up, a bare symbol counts once."""
     symbol = r"\^N" if element == "^N" else rf"(?<!\^){element}(?![a-z])"
     numbers = F.regexp_extract_all(formula, F.lit(symbol + r"(\d*)"), 1)
-    return F.aggregate(
+    total = F.aggregate(
         F.transform(numbers, lambda x: F.when(x == "", 1).otherwise(x.try_cast("int"))),
         F.lit(0),
         lambda a, b: a + b,
     )
+    # Most elements are absent from most formulas, and a plain search tells so at little cost.
+    return F.when(~F.contains(formula, F.lit(element)), 0).otherwise(total)
 
 
 def counts(formula: Column) -> Column:
@@ -115,9 +119,17 @@ def counts(formula: Column) -> Column:
     return F.struct(*[count_of(text, el).alias(field) for el, field in FIELDS.items()])
 
 
+def parsed(formulas: DataFrame, formula: str, out: str = "el") -> DataFrame:
+    """The distinct formulas and their count structs, as a table.
+
+    Without it later filters and projections would move below the distinct and parse the formula of every row, once per use.
+    """
+    return cut_lineage(formulas.select(formula).distinct().withColumn(out, counts(F.col(formula))))
+
+
 def with_counts(df: DataFrame, formula: str, out: str = "el") -> DataFrame:
     """``df`` plus the count struct of ``formula``; each distinct formula is parsed once."""
-    key = df.select(F.col(formula).alias("_formula")).distinct().withColumn(out, counts(F.col("_formula")))
+    key = parsed(df.select(F.col(formula).alias("_formula")), "_formula", out)
     return df.join(key, F.col(formula).eqNullSafe(F.col("_formula"))).drop("_formula")
 
 

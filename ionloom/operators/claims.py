@@ -222,11 +222,9 @@ def calibrate(owners: DataFrame, sigma_floor: float = 0.25, min_n: int = 20, rec
 
 def backbone_core(ledger: DataFrame) -> DataFrame:
     """Well-scored owners of plain C, H, N, O formulas."""
-    el = fx.counts(F.col("neutral_formula"))
-    odd = fx.n(el, "^N", "S", "P", "Si", "F", "Cl", "Br", "I")
-    return ledger.where(
-        (F.col("role") == "M0") & F.col("ppm_error").isNotNull() & (F.coalesce("ion_score", F.lit(0.0)) >= TAU_GOOD) & (odd == 0)
-    )
+    good = ledger.where((F.col("role") == "M0") & F.col("ppm_error").isNotNull() & (F.coalesce("ion_score", F.lit(0.0)) >= TAU_GOOD))
+    odd = fx.n(F.col("_el"), "^N", "S", "P", "Si", "F", "Cl", "Br", "I")
+    return fx.with_counts(good, "neutral_formula", "_el").where(odd == 0).drop("_el")
 
 
 def confidence_label(score: Column, ppm: Column, n_iso: Column, tied: Column, mu: Column, suffix: str = "") -> Column:
@@ -339,7 +337,7 @@ def compute_tiers(ledger: DataFrame, cal: DataFrame | None, degeneracy: DataFram
     (see :func:`margin_and_density`). Nothing but evidence moves an owner to
     Candidate: satellites, a second channel, or a series anchor corroborate it.
     """
-    m0 = ledger.where("role = 'M0'")
+    m0 = fx.with_counts(ledger.where("role = 'M0'"), "neutral_formula")
     kids = ledger.where("role = 'iso_child'").groupBy("sample_item_id", F.col("parent_peak_id").alias("peak_id")).agg(
         F.count(F.lit(1)).alias("_kids")
     )
@@ -350,7 +348,6 @@ def compute_tiers(ledger: DataFrame, cal: DataFrame | None, degeneracy: DataFram
         with_calibration(m0.join(kids, PEAK, "left"), cal)
         .join(channels, ["sample_item_id", "neutral_formula"], "left")
         .join(primary, ["sample_item_id", "adduct"], "left")
-        .withColumn("el", fx.counts(F.col("neutral_formula")))
     )
     if degeneracy is not None:
         rows = rows.join(degeneracy.select(*PEAK, F.col("density").alias("_deg")), PEAK, "left")
@@ -423,7 +420,7 @@ def mass_gate_clears(ledger: DataFrame, cal: DataFrame) -> DataFrame:
 def demotions(ledger: DataFrame, degeneracy: DataFrame | None = None) -> DataFrame:
     """Owners that lose the Assigned tier, one audit row each: before, after, reason."""
     el, hc = F.col("el"), None
-    rows = ledger.where("role = 'M0'").withColumn("el", fx.counts(F.col("neutral_formula")))
+    rows = fx.with_counts(ledger.where("role = 'M0'"), "neutral_formula")
     hc = (el["H"] + el["F"]) / F.greatest(el["C"], F.lit(1))
     pfca = (el["O"] == 2) & (el["H"] == 1) & (el["F"] == el["C"] * 2 - 1)
     if degeneracy is not None:
@@ -454,7 +451,7 @@ def prefer_adduct_reading(rows: DataFrame, element: str) -> DataFrame:
     channel as Y with HX in front, if such a form is modelled.
     """
     hx = f"H{element}"
-    base = rows.withColumn("_el", fx.counts(F.col("neutral_formula"))).withColumn(
+    base = fx.with_counts(rows, "neutral_formula", "_el").withColumn(
         "_y", fx.shifted(F.col("_el"), {"H": -1, element: -1})
     )
     y = F.col("_y")
@@ -482,12 +479,12 @@ def rearbitrate(ledger: DataFrame, cal: DataFrame, winner_dbe_per_c: float = 0.5
     m0 = ledger.where("role = 'M0'")
     lone = m0.groupBy("sample_item_id", "neutral_formula").agg(F.count_distinct("adduct").alias("c")).where("c < 2").drop("c")
     rows = with_calibration(m0.join(kids, PEAK, "left_anti").join(lone, ["sample_item_id", "neutral_formula"], "left_semi"), cal)
-    el = fx.counts(F.col("neutral_formula"))
+    el = F.col("_el")
     own_dbe = fx.dbe(el)
     z = z_score(F.col("ppm_error"), F.col("cal_mu"), F.col("cal_sigma"))
-    rows = rows.where(
-        (z > Z_TAIL) & ~F.coalesce("locked", F.lit(False)) & ~F.coalesce("method", F.lit("")).startswith("known")
-        & (el["C"] >= 1) & (own_dbe / F.greatest(el["C"], F.lit(1)) >= winner_dbe_per_c)
+    rows = rows.where((z > Z_TAIL) & ~F.coalesce("locked", F.lit(False)) & ~F.coalesce("method", F.lit("")).startswith("known"))
+    rows = fx.with_counts(rows, "neutral_formula", "_el").where(
+        (el["C"] >= 1) & (own_dbe / F.greatest(el["C"], F.lit(1)) >= winner_dbe_per_c)
     ).withColumn("own_dbe", own_dbe)
 
     def fit(a: Column) -> Column:

@@ -192,7 +192,10 @@ def signal_by_backbone(signal: DataFrame) -> DataFrame:
 
 def shadowed_amines(neutrals: DataFrame) -> DataFrame:
     """Nitrogen-bearing neutrals whose partner one ammonia lighter is present too."""
-    distinct = neutrals.select("neutral_formula").distinct().withColumn("el", fx.counts(F.col("neutral_formula")))
+    return _shadowed(fx.parsed(neutrals, "neutral_formula"))
+
+
+def _shadowed(distinct: DataFrame) -> DataFrame:
     keyed = distinct.select(fx.text(F.col("el")).alias("twin")).distinct()
     lighter = distinct.where(F.col("el")["N"] >= 1).withColumn("twin", fx.text(fx.minus_nh3(F.col("el"))))
     return lighter.join(keyed, "twin", "left_semi").select("neutral_formula", "twin")
@@ -200,9 +203,10 @@ def shadowed_amines(neutrals: DataFrame) -> DataFrame:
 
 def collapsed_composition(neutrals: DataFrame) -> DataFrame:
     """Class counts as assigned and after folding shadowed amines into their twins."""
-    klass = fx.backbone(fx.counts(F.col("neutral_formula"))).alias("klass")
-    all_n = neutrals.select("neutral_formula").distinct().groupBy(klass).agg(F.count(F.lit(1)).alias("as_assigned"))
-    gone = shadowed_amines(neutrals).groupBy(klass).agg(F.count(F.lit(1)).alias("dropped"))
+    distinct = fx.parsed(neutrals, "neutral_formula")
+    klass = fx.backbone(F.col("el")).alias("klass")
+    all_n = distinct.groupBy(klass).agg(F.count(F.lit(1)).alias("as_assigned"))
+    gone = _shadowed(distinct).join(distinct, "neutral_formula").groupBy(klass).agg(F.count(F.lit(1)).alias("dropped"))
     return all_n.join(gone, "klass", "left").select(
         "klass", "as_assigned", (F.col("as_assigned") - F.coalesce("dropped", F.lit(0))).alias("collapsed")
     )

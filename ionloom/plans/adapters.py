@@ -215,15 +215,25 @@ def _part(symbol: str, count: Column) -> Column:
     ).otherwise("")
 
 
-def ledger_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def counted_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with their atom counts, then formula and mass, each as columns of a projection of its own.
+
+    In one expression every use repeats all of it, and the compiled method gets too long for the JVM to optimise.
+    """
     n = _row_counts()
-    si_h = F.when(F.col("l_partkey") % 13 == 0, 2).otherwise(0)
-    n["H"] = n["H"] + si_h
-    formula = F.concat(*[_part(e, n[e]) for e in ("C", "H", "N", "O", "S", "Si")])
+    n["H"] = n["H"] + F.when(F.col("l_partkey") % 13 == 0, 2).otherwise(0)
+    rows = table(spark, sf_dir, "lineitem").withColumns({f"_{e}": c for e, c in n.items()})
+    n = {e: F.col(f"_{e}") for e in n}
     mass = (
         n["C"] * F.lit(12.0) + n["H"] * F.lit(1.0078250319) + n["N"] * F.lit(14.0030740052)
         + n["O"] * F.lit(15.9949146221) + n["S"] * F.lit(31.97207069) + n["Si"] * F.lit(27.9769265350)
     )
+    formula = F.concat(*[_part(e, n[e]) for e in ("C", "H", "N", "O", "S", "Si")])
+    return rows.withColumns({"_formula": formula, "_mass": mass})
+
+
+def ledger_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    formula, mass = F.col("_formula"), F.col("_mass")
     bromide = F.col("l_linestatus") == "F"
     adduct = F.when(bromide, "[M+Br]-").otherwise("[M-H]-")
     shift = F.when(bromide, F.lit(78.9183371 + 0.0005485799)).otherwise(F.lit(-1.0078250319 + 0.0005485799))
@@ -239,7 +249,7 @@ def ledger_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round(F.col("l_extendedprice") * 100).cast("long"),
     )
     sample = F.date_format("l_shipdate", "yyyy-MM")
-    rows = table(spark, sf_dir, "lineitem").select(
+    rows = counted_lines(spark, sf_dir).select(
         sample.alias("sample_item_id"),
         F.concat(F.lit("f"), (F.col("l_suppkey") % 8).cast("string")).alias("src"),
         peak_id.alias("peak_id"),
@@ -268,12 +278,11 @@ def ledger_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
                                    F.lit("Br) (+0.3 ppm)")))
         .when(is_m0, "ok").alias("commentary"),
     )
-    parents = rows.where("role = 'M0'").groupBy("sample_item_id", "ord").agg(F.min("peak_id").alias("_pp"))
-    return (
-        rows.join(parents, ["sample_item_id", "ord"], "left")
-        .withColumn("parent_peak_id", F.when(F.col("role") == "iso_child", F.col("_pp")))
-        .drop("_pp", "ord")
-    )
+    # Only satellites have parents, so only their lines and the owners' ids are shuffled.
+    parents = rows.where(line <= 3).groupBy("sample_item_id", "ord").agg(F.min("peak_id").alias("parent_peak_id"))
+    kids = rows.where(line == 4).withColumn("role", F.lit("iso_child")).join(parents, ["sample_item_id", "ord"], "left").drop("ord")
+    rest = rows.where((line != 4) | line.isNull()).drop("ord").withColumn("parent_peak_id", F.lit(None).cast("string"))
+    return rest.unionByName(kids)
 
 
 LROWS = """lr0 AS (
@@ -328,15 +337,10 @@ def spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when(bromide, F.struct(F.lit(2).alias("k"), F.lit(1.9979521).alias("step"), F.lit(0.9728).alias("rel"))),
         )
     )
-    n = _row_counts()
-    n["H"] = n["H"] + F.when(F.col("l_partkey") % 13 == 0, 2).otherwise(0)
-    mass = (
-        n["C"] * F.lit(12.0) + n["H"] * F.lit(1.0078250319) + n["N"] * F.lit(14.0030740052)
-        + n["O"] * F.lit(15.9949146221) + n["S"] * F.lit(31.97207069) + n["Si"] * F.lit(27.9769265350)
-    )
+    mass = F.col("_mass")
     shift = F.when(bromide, F.lit(78.9183371 + 0.0005485799)).otherwise(F.lit(-1.0078250319 + 0.0005485799))
     ppm = (F.round(F.col("l_tax") * 100) - 4) * F.lit(0.4)
-    rows = table(spark, sf_dir, "lineitem").select(
+    rows = counted_lines(spark, sf_dir).select(
         F.date_format("l_shipdate", "yyyy-MM").alias("sample_item_id"),
         F.concat_ws(
             "-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(F.col("l_extendedprice") * 100).cast("long")

@@ -217,11 +217,8 @@ win AS (SELECT sample_item_id, sample_peak_id AS peak_id, compound_formula AS ne
 
 
 def scored(spark, sf):
-    li = ad.table(spark, sf, "lineitem")
-    n = ad._row_counts()
-    n["H"] = n["H"] + F.when(F.col("l_partkey") % 13 == 0, 2).otherwise(0)
-    formula = F.concat(*[ad._part(e, n[e]) for e in ("C", "H", "N", "O", "S", "Si")])
-    return li.select(
+    formula = F.col("_formula")
+    return ad.counted_lines(spark, sf).select(
         F.col("l_linestatus").alias("sample_item_id"), F.concat(F.lit("p"), F.col("l_orderkey").cast("string")).alias("sample_peak_id"),
         formula.alias("compound_formula"), F.concat(formula, F.lit("-")).alias("ion_formula"),
         (F.lit(1.0) - F.col("l_discount")).alias("ion_score"), (F.lit(1.0) - F.col("l_tax")).alias("compound_score"),
@@ -401,8 +398,8 @@ def c26(spark, sf):
 SELECT sample_item_id, peak_id, neutral_formula, CASE WHEN dbe >= 0 AND dbe = floor(dbe) AND dbe <= nc + nsi + nn / 2.0 + 1 AND no <= 2 * (nc + nn + ns) + 4
   THEN CASE adduct WHEN '[M-H]-' THEN '[M+Br]-' WHEN '[M+Br]-' THEN '[M+HBr+Br]-' END ELSE adduct END AS adduct FROM x""")
 def c27(spark, sf):
-    el = fx.counts(F.col("neutral_formula"))
-    m0 = ad.ledger_rows(spark, sf).where("role = 'M0'").withColumn("own", F.col("neutral_formula")).where(el["H"] >= 1)
+    el = F.col("_el")
+    m0 = fx.with_counts(ad.ledger_rows(spark, sf).where("role = 'M0'"), "neutral_formula", "_el").withColumn("own", F.col("neutral_formula")).where(el["H"] >= 1)
     brominated = m0.withColumn("neutral_formula", fx.text(fx.shifted(el, {"Br": 1})))
     out = claims.prefer_adduct_reading(brominated.select(*PEAK, "own", "neutral_formula", "adduct"), "Br")
     return out.select(*PEAK, F.col("own").alias("neutral_formula"), "adduct")
