@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -10,7 +9,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ionloom.session import shared_folder
+from ionloom.session import stored
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 # Slots of the filters that spare rows a shuffle; at most so many rows are broadcast.
@@ -25,9 +24,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a table in the shared folder, read back: the lineage ends at files that
     outlive executors."""
-    path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return stored(df, label)[0]
 
 
 def in_files(docs: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ Documents are scored with smoothed probabilities made of the levels of words and
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -240,18 +240,21 @@ class Model(NamedTuple):
         """Sum of all quantised counts, smoothed."""
         return self.amounts + ADDED * (self.distinct + 1)
 
-    def logs(self, t: Tokens) -> np.ndarray:
+    def logs(self, t: Tokens, levels_of: Callable[[np.ndarray], np.ndarray] | None = None) -> np.ndarray:
         """log10 of the smoothed probability of each token after the one before it.
 
+        ``levels_of`` hashes stands in for a filter that stays a table.
+
         A word's share is its quantised count of their sum. A pair counts with the least count of
         its level, its context with the greatest, so the shares after a context sum to at most 1.
         """
-        if self.filter is None:
+        levels_of = levels_of or (self.filter and self.filter.levels)
+        if levels_of is None:
             return np.zeros(len(t.codes))
-        levels = self.filter.levels(t.hashes)
+        levels = levels_of(t.hashes)
         single = (_amount(levels)[t.codes] + ADDED) / self.mass
         distinct, back = np.unique(t.pairs, return_inverse=True)
-        least = np.exp2(self.filter.levels(distinct) - 1.0)
+        least = np.exp2(levels_of(distinct) - 1.0)
         pair = np.where(least >= 1, least, 0.0)[back]
         context = np.where(t.previous < 0, float(self.texts), np.exp2(levels.astype(float))[t.previous] - 1)
         share = np.minimum(1.0, pair / np.maximum(context, 1.0))
@@ -287,51 +290,81 @@ def fit(train: DataFrame) -> tuple[Model, DataFrame, DataFrame]:
     return Model(held, total[0], total[1], texts["n"] if texts else 0, total[2], counts), words, segments
 
 
+def in_runs(numbered: DataFrame) -> DataFrame:
+    """``numbered`` plus ``run``: the first ``uid`` of the run of texts that are scored together."""
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            uid, text = (batch.column(batch.schema.get_field_index(c)) for c in ("uid", "text"))
+            starts = np.array([start for start, _ in _runs(text)], np.int64)
+            run = uid.to_numpy()[np.repeat(starts, np.diff(np.r_[starts, len(text)]))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(run)], names=[*batch.schema.names, "run"])
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in numbered.schema.fields)
+    return numbered.mapInArrow(batches, schema + ", run long")
+
+
+def _asked(t: Tokens) -> np.ndarray:
+    """Distinct hashes of a run's words and pairs, in order, so by segment."""
+    return np.unique(np.concatenate([t.hashes, t.pairs]))
+
+
 def joined_scores(numbered: DataFrame, model: Model, segments: DataFrame) -> DataFrame:
-    """``uid, score`` with a filter that stays a table.
+    """``uid, score`` with a filter that stays a table, of ``numbered (run, uid, text)`` in files.
 
-    A text's distinct pairs leave it with their words' hashes. Every distinct n-gram is probed
-    once, in its segment; each distinct pair gets its log-probability, which returns to the texts.
+    A piece of a run asks each segment once for all its hashes, seven bytes each as the segment
+    has the first bits. Back come their levels, a byte each in the order of the hashes, to the
+    texts of the run, where the hashes are worked out again.
     """
 
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ask(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            for start, run in _runs(batch.column(1)):
-                t = tokenize(run)
-                ends = np.r_[t.starts[1:], len(t.codes)]
-                text = np.repeat(np.arange(len(run)), ends - t.starts)
-                order = np.lexsort([t.pairs, text])
-                new = np.r_[True, (np.diff(text[order]) != 0) | (np.diff(t.pairs[order]) != 0)]
-                at = order[new]
-                times = np.diff(np.r_[np.flatnonzero(new), len(order)])
-                previous = pa.array(t.hashes[t.previous[at]].view(np.int64), mask=t.previous[at] < 0)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(start, len(run)).take(pa.array(text[at])),
-                        pa.array(t.pairs[at].view(np.int64)), pa.array(t.hashes[t.codes[at]].view(np.int64)), previous, pa.array(times),
-                    ],
-                    names=["uid", "p", "w", "b", "times"],
-                )
-
-    grams = written(numbered.select("uid", "text").mapInArrow(batches, "uid long, p long, w long, b long, times long"), "lm-pairs")
-    pairs = written(grams.select("p", "w", "b").distinct(), "lm-distinct")
-    probes = pairs.select(F.explode(F.array("p", "w", "b")).alias("h")).where("h is not null").distinct()
-    level = written(joined_levels(probes, segments), "lm-levels")
-
-    def of(name: str) -> DataFrame:
-        return level.select(F.col("h").alias(name), F.col("level").alias(f"level_{name}"))
-
-    known = pairs.join(of("p"), "p").join(of("w"), "w").join(of("b"), "b", "left")
-    high = F.pow(F.lit(2.0), F.col("level_w"))
-    amount = F.when(F.col("level_w") > 0, (high / 2 + high - 1) / 2).otherwise(0.0)
-    single = (amount + ADDED) / F.lit(model.mass)
-    least = F.when(F.col("level_p") > 0, F.pow(F.lit(2.0), F.col("level_p") - 1)).otherwise(0.0)
-    context = F.when(F.col("b").isNull(), F.lit(float(model.texts))).otherwise(F.pow(F.lit(2.0), F.col("level_b")) - 1)
-    share = F.least(F.lit(1.0), least / F.greatest(context, F.lit(1.0)))
-    log = F.log10(F.when(context > 0, single * (1 - LAMBDA) + share * LAMBDA).otherwise(single))
-    return grams.join(known.select("p", "w", "b", log.alias("log")).drop("w", "b").dropDuplicates(["p"]), "p").groupBy("uid").agg(
-        F.sum(F.col("log") * F.col("times")).alias("score")
-    )
+            runs = batch.column(0).to_numpy()
+            edges = np.r_[0, np.flatnonzero(np.diff(runs)) + 1, len(runs)]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if a == b:
+                    continue
+                part = batch.slice(a, b - a)
+                h = _asked(tokenize([x.as_py() or b"" for x in part.column(2)]))
+                s, first = np.unique(_segment(h), return_index=True)
+                seven = h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7].tobytes()
+                offsets = 7 * np.r_[first, len(h)].astype(np.int64)
+                blobs = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(s), [None, pa.py_buffer(offsets), pa.py_buffer(seven)])
+                same = [pa.array(np.full(len(s), v)) for v in (part.column(0)[0].as_py(), part.column(1)[0].as_py())]
+                yield pa.RecordBatch.from_arrays([pa.array(s.astype(np.int32)), *same, blobs.cast(pa.binary())], names=["s", "run", "piece", "h"])
+
+    def answer(left: pa.Table, right: pa.Table) -> pa.Table:
+        blobs = left.column("h").to_pylist()
+        sizes = [len(b) // 7 for b in blobs]
+        h = np.zeros((sum(sizes), 8), np.uint8)
+        h[:, :7] = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, 7)
+        s = np.uint64(left.column("s")[0].as_py()) if len(left) else np.uint64(0)
+        low = np.uint64((1 << 64 - SEGMENT_BITS) - 1)
+        h = (h.view("<u8").ravel().astype(np.uint64) & low) | (s << np.uint64(64 - SEGMENT_BITS))
+        levels = as_filter([(r["s"], r["bits"]) for r in right.to_pylist()]).levels(h).astype(np.uint8).tobytes()
+        ends = np.cumsum([0, *sizes])
+        found = [levels[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        return pa.table({"run": left.column("run"), "piece": left.column("piece"), "s": left.column("s"), "levels": pa.array(found, pa.binary())})
+
+    def score_run(texts: pa.Table, levels: pa.Table) -> pa.Table:
+        texts = texts.sort_by("uid")
+        levels = levels.sort_by([("piece", "ascending"), ("s", "ascending")])
+        uid, piece = texts.column("uid").to_numpy(), levels.column("piece").to_numpy()
+        pieces, first = np.unique(piece, return_index=True)
+        starts, ends = np.searchsorted(uid, pieces), np.r_[first[1:], len(piece)]
+        out = []
+        for a, b, i, j in zip(starts, np.r_[starts[1:], len(uid)], first, ends, strict=True):
+            t = tokenize([x.as_py() or b"" for x in texts.column("text").slice(a, b - a)])
+            asked = _asked(t)
+            got = np.frombuffer(b"".join(levels.column("levels").slice(i, j - i).to_pylist()), np.uint8).astype(np.int64)
+            out.append(np.add.reduceat(model.logs(t, lambda h, asked=asked, got=got: got[np.searchsorted(asked, h)]), t.starts))
+        return pa.table({"uid": pa.array(uid), "score": pa.array(np.concatenate([np.empty(0), *out]))})
+
+    model = model._replace(frequent={})
+    texts = numbered.select("run", "uid", "text")
+    asked = texts.mapInArrow(ask, "s int, run long, piece long, h binary")
+    levels = written(asked.groupBy("s").cogroup(segments.groupBy("s")).applyInArrow(answer, "run long, piece long, s int, levels binary"), "lm-levels")
+    return texts.groupBy("run").cogroup(levels.groupBy("run")).applyInArrow(score_run, "uid long, score double")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -384,9 +417,9 @@ def score(docs: DataFrame) -> DataFrame:
     numbered = rows.select("doc_id", "held_out", F.monotonically_increasing_id().alias("uid"), F.col("text").cast("binary"))
     if model.filter is None:
         # Numbers given by the plan may differ between runs of it; these are read back.
-        numbered = written(numbered, "lm-numbered")
+        numbered = written(in_runs(numbered), "lm-numbered")
     scored = written(
-        numbered.mapInArrow(
+        numbered.select("doc_id", "held_out", "uid", "text").mapInArrow(
             batches,
             f"doc_id {id_type}, held_out boolean, uid long, n_tokens long, known long, base double, score double, "
             "rest array<struct<word:binary,times:long>>",
@@ -394,7 +427,8 @@ def score(docs: DataFrame) -> DataFrame:
         "lm-scored",
     )
     if model.filter is None:
-        scored = scored.drop("score").join(joined_scores(numbered, model, segments), "uid")
+        # Written, so that the texts' shuffle is gone before the words are joined.
+        scored = scored.drop("score").join(written(joined_scores(numbered, model, segments), "lm-scores"), "uid")
     rare = scored.select("uid", F.inline("rest")).join(words, "word", "left")
     log = F.log10((F.coalesce("n", F.lit(0)) + ADDED) / F.lit(float(model.scale)))
     sums = rare.groupBy("uid").agg(

@@ -119,3 +119,17 @@ def test_nothing_to_learn_from(spark):
     only = next(i for i in range(1000) if _held_out(i))
     r = lm.score(spark.createDataFrame([(only, "a b")], "doc_id long, text string")).first()
     assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"]) == (3, 0, 0, 0.0)
+
+
+def test_runs_read_in_pieces_score_alike(spark, monkeypatch):
+    """A run may come back from its files in several batches; no table holds a row per pair of a text."""
+    docs = spark.range(200, numPartitions=3).selectExpr("id AS doc_id", "concat('alpha beta ', id % 7, ' gamma ', id % 31) AS text")
+    want, labels, kept = _scores(docs), [], lm.written
+    monkeypatch.setattr(lm, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(lm, "written", lambda df, label: labels.append(label) or kept(df, label))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        assert _scores(docs) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert not {"lm-pairs", "lm-distinct"} & set(labels)
